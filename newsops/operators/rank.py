@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.similarity import CONTAINMENT_RATIO, LENGTH_RATIO, MIN_CROSS_URL_TITLE
 from ..session import cut
+from .dedup import duplicate_edges
 
 # Budgets of one run.
 SHORTLIST_MAX, SHORTLIST_MIN, SHORTLIST_FACTOR = 100, 20, 3
@@ -137,50 +137,10 @@ def unprocessed_remainder(df: DataFrame, reviewed: DataFrame, keys: list[str]) -
 def cross_topic_twins(df: DataFrame, run: str, id_col: str) -> DataFrame:
     """Per row, the run's other rows it would duplicate if they were taken first.
 
-    Input is a capped shortlist without repeats inside a topic, so the pairs are bounded by
-    the shortlists and reach across topics only.
+    Input is a shortlist capped per topic and free of repeats inside a topic.
     """
-    from ..functions.similarity import cross_url_similar, same_url_similar
-
-    base = df.select(
-        run, id_col, "topic_id", "canonical_url", "norm_title", "material",
-        F.length("norm_title").alias("len"),
-    )
-    grams = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.col("len") - 2), lambda i: F.substring("norm_title", i, 3)
-    ))
-    # a containing or similar pair shares its first or a later gram block; equal titles share all
-    keys = base.select(
-        "*", F.explode(F.concat(
-            F.array(F.concat(F.lit("u"), "canonical_url")),
-            F.when(F.col("len") >= MIN_CROSS_URL_TITLE, F.transform(grams, lambda g: F.concat(F.lit("g"), g)))
-            .otherwise(F.array().cast("array<string>")),
-        )).alias("key"),
-    )
-    a, b = keys.alias("a"), keys.alias("b")
-    la, lb = F.col("a.len"), F.col("b.len")
-    on = (
-        (F.col(f"a.{run}") == F.col(f"b.{run}")) & (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.topic_id") != F.col("b.topic_id")) & (F.col("a.material") == F.col("b.material"))
-        & (F.least(la, lb) >= LENGTH_RATIO * F.greatest(la, lb)) & (la > 0)
-    )
-    pairs = a.join(b, on).select(
-        F.col(f"a.{run}").alias(run), F.col(f"a.{id_col}").alias("other"), F.col(f"b.{id_col}").alias(id_col),
-        F.col("a.norm_title").alias("t1"), F.col("b.norm_title").alias("t2"),
-        (F.col("a.canonical_url") == F.col("b.canonical_url")).alias("same_url"),
-    ).distinct()
-    ratio = F.least(F.length("t1"), F.length("t2")) / F.greatest(F.length("t1"), F.length("t2"))
-    long_enough = F.least(F.length("t1"), F.length("t2")) >= MIN_CROSS_URL_TITLE
-    equal = (F.col("t1") == F.col("t2")) & (F.col("same_url") | long_enough)
-    inside = long_enough & (ratio >= CONTAINMENT_RATIO) & (
-        F.contains("t1", F.col("t2")) | F.contains("t2", F.col("t1"))
-    )
-    marked = pairs.withColumn("native", equal | inside)
-    sure = marked.where("native")
-    url_near = marked.where(~F.col("native") & F.col("same_url")).where(same_url_similar("t1", "t2"))
-    far_near = marked.where(~F.col("native") & long_enough).where(cross_url_similar("t1", "t2"))
-    edges = sure.unionByName(url_near).unionByName(far_near)
-    return edges.groupBy(run, id_col).agg(F.collect_set("other").alias("twins"))
+    edges = duplicate_edges(df, id_col, scope=[run])
+    return edges.groupBy(F.col("b").alias(id_col)).agg(F.collect_set("a").alias("twins"))
 
 
 def take_turns(rows: pd.DataFrame) -> pd.DataFrame:
@@ -259,9 +219,9 @@ def select_for_run(shortlist: DataFrame) -> DataFrame:
         T.StructField("article_id", shortlist.schema["article_id"].dataType),
         T.StructField("status", T.StringType()), T.StructField("rank", T.IntegerType()),
     ])
-    narrow = shortlist.withColumn("row_id", F.concat_ws("|", "topic_id", F.col("article_id").cast("string")))
+    narrow = shortlist.withColumn("row_id", F.concat_ws("|", "run_id", "topic_id", F.col("article_id").cast("string")))
     twins = cross_topic_twins(narrow, "run_id", "row_id")
-    ready = narrow.join(twins, ["run_id", "row_id"], "left").select(
+    ready = narrow.join(twins, "row_id", "left").select(
         "run_id", "topic_id", "topic_ord", "article_id", "row_id", "review_pos", "score",
         "published_rank", "qualifies", "article_limit",
         F.coalesce("twins", F.array().cast("array<string>")).alias("twins"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..schemas import REASONS, SCORE
+from ..schemas import REASONS, SCORE_FIELDS
 
 # Policy of the score cache and the per-run cap.
 POLICY_VERSION = 2
@@ -178,7 +178,7 @@ def put_cache(scores: DataFrame, as_of: Column, days: int = CACHE_DAYS) -> DataF
     """Cache rows for new scores."""
     return scores.where("fresh_score.valid").select(
         "cache_key",
-        F.to_json(F.struct(*[F.col(f"fresh_score.{f.name}") for f in SCORE.fields])).alias("analysis"),
+        F.to_json(F.struct(*[F.col(f"fresh_score.{f}") for f in SCORE_FIELDS])).alias("analysis"),
         as_of.alias("created_at"),
         (as_of + F.make_interval(days=F.lit(max(1, days)))).alias("expires_at"),
     )

@@ -108,12 +108,60 @@ def fingerprints(df: DataFrame) -> DataFrame:
     )
 
 
-# DuckDB form of the identity on the test tables: titles hold no number with a unit, label or
-# outlet name, so the identity is the letters and canonical digits; URLs have no escapes.
+# DuckDB form of the identities.  On the test tables titles hold no Han characters, leading
+# labels or outlet names, and URLs have no escapes, so those rules are left to fixtures.
 URL_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   split_part(lower(url), '#', 1), '([?&])(utm_[a-z]*|ref|ref_src|from|source|spm|gclid|fbclid)=[^&]*', '\1', 'g'),
   '[?&]+$', ''), '\?&+', '?'), '/+($|\?)', '\1')"""
-TITLE_SQL = r"regexp_replace(f_title, '[^\p{L}\p{N}]', '', 'g')"
+_UNITS = (
+    r"%|per\s+cent\b|percent\b|basis\s+points?\b|bps\b|(?:thousand|million|billion|trillion)\b"
+    r"|(?:usd|eur|cny|rmb|gbp)\b|(?:[kmg]w(?:h)?|kg|km|tonnes?|tons?|dollars?|euros?)\b"
+)
+_COMPACT = (
+    "regexp_replace(replace(replace(replace(replace({0}, '$', 'usd'), '€', 'eur'), '¥', 'cny'), '£', 'gbp'), "
+    r"'[^\p{{L}}\p{{N}}]', '', 'g')"
+)
+_CANON = (
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(split_part({0}, chr(2), 1), ',', ''), "
+    r"'+', ''), '^(-?)0+([0-9])', '\1\2'), '(\.[0-9]*?)0+$', '\1'), '\.$', ''), '^-0$', '0')"
+)
+_UNIT = r"""CASE regexp_replace(split_part({0}, chr(2), 2), '\s+', ' ', 'g')
+  WHEN 'percent' THEN '%' WHEN 'per cent' THEN '%' WHEN 'basis point' THEN 'bps' WHEN 'basis points' THEN 'bps'
+  WHEN 'dollar' THEN 'usd' WHEN 'dollars' THEN 'usd' WHEN 'euro' THEN 'eur' WHEN 'euros' THEN 'eur' WHEN 'rmb' THEN 'cny'
+  WHEN 'ton' THEN 'tonne' WHEN 'tons' THEN 'tonne' WHEN 'tonnes' THEN 'tonne'
+  ELSE regexp_replace(split_part({0}, chr(2), 2), '\s+', ' ', 'g') END"""
+_MONTH_SQL = " ".join(
+    f"WHEN w IN ({', '.join(repr(n) for n in names.split())}) THEN 'month-{i}'" for i, names in enumerate(text.MONTHS, 1)
+)
+_DATE_WORDS = ", ".join(repr(w) for names in text.MONTHS for w in names.split()) + ", 'yesterday', 'today', 'tomorrow'"
+_STAGES = ", ".join(repr(w) for w in text.STAGE_TERMS_LATIN)
+
+
+def titled(source: str = "articles", name: str = "titled") -> str:
+    """CTE adding norm_title, numbers, material and canonical_url to rows with f_title and url."""
+    run, number = _COMPACT.format("x"), f"{_CANON.format('x')} || {_UNIT.format('x')}"
+    slash = (
+        f"CASE WHEN i > 2 AND {_COMPACT.format('parts[i - 1]')} = '' AND split_part(parts[i - 2], chr(2), 2) = '' "
+        "THEN '/' ELSE '' END"
+    )
+    return rf"""
+{name}_parts AS (
+  SELECT *, string_split(regexp_replace(f_title, '(^|[^0-9])([+-]?[0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]+)?)(?:\s*({_UNITS}))?',
+    '\1' || chr(1) || '\2' || chr(2) || '\3' || chr(1), 'g'), chr(1)) AS parts,
+    regexp_extract_all(f_title, '[a-z]+') AS w_all FROM {source}),
+{name} AS (
+  SELECT * EXCLUDE (parts, w_all), {URL_SQL} AS canonical_url,
+    array_to_string(list_transform(parts, lambda x, i: CASE WHEN i % 2 = 0 THEN {slash} || {number} ELSE {run} END), '') AS norm_title,
+    list_filter(list_transform(parts, lambda x, i: CASE WHEN i % 2 = 0 THEN {_CANON.format('x')} || '|' || {_UNIT.format('x')} END),
+      lambda x: x IS NOT NULL) AS numbers,
+    array_to_string(list_filter(list_transform(parts, lambda x, i: CASE WHEN i % 2 = 0 THEN {_CANON.format('x')} || '|' || {_UNIT.format('x')} END),
+      lambda x: x IS NOT NULL), ';') || '#' ||
+    array_to_string(list_transform(list_filter(w_all, lambda w: w IN ({_DATE_WORDS})), lambda w: CASE {_MONTH_SQL} ELSE w END), ',') || '#' ||
+    array_to_string(list_sort(list_distinct(list_filter(w_all, lambda w: w IN ({_STAGES})))), ',') AS material
+  FROM {name}_parts)"""
+
+
+TITLED = titled()
 
 # -- topics and sources --------------------------------------------------------
 _TOPICS = [
@@ -233,4 +281,5 @@ verdict AS (
 
 def sql(*parts: str, select: str) -> str:
     """Join common table expressions and the final select."""
-    return "WITH " + ",\n".join(p.strip() for p in parts) + "\n" + select.strip()
+    with_ = "WITH " + ",\n".join(p.strip() for p in parts) + "\n" if parts else ""
+    return with_ + select.strip()

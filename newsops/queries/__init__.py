@@ -1,4 +1,4 @@
 """Registered queries over the test tables."""
 
-from . import matching, scalar  # noqa: F401
+from . import matching, ranking, scalar  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

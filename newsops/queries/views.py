@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
+from ..session import spread
 
 AS_OF = "2024-01-28 00:00:00"
 
@@ -25,11 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # -- articles ----------------------------------------------------------------
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents + events (date) + pages (link): one raw feed item per document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     events = table(spark, sf_dir, "events").select("event_id", "ts")
     step = max(1, events.count() // docs.count())          # parquet footers only
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page_url"))
-    dated = docs.join(events, F.col("event_id") == F.col("doc_id") * step, "left").join(
+    dated = spread(docs, "doc_id").join(events, F.col("event_id") == F.col("doc_id") * step, "left").join(
         pages, F.col("page_id") == F.col("doc_id"), "left"
     )
     when = F.date_trunc("second", F.col("ts").cast("timestamp"))
@@ -178,9 +179,15 @@ DEFAULT_THRESHOLD, DEFAULT_LIMIT = 60, 20
 
 
 def topics(spark: SparkSession) -> DataFrame:
-    from ..schemas import TOPIC
+    names = "topic_id topic_ord name keywords exclusion_keywords threshold article_limit source_ids enabled archived"
+    rows = ", ".join("(" + ", ".join(_spark_literal(v) for v in row) + ")" for row in _TOPICS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({', '.join(names.split())})")
 
-    return spark.createDataFrame(_TOPICS, TOPIC)
+
+def _spark_literal(value) -> str:
+    if isinstance(value, list):
+        return "CAST(array(" + ", ".join(_quote(v) for v in value) + ") AS ARRAY<STRING>)"
+    return "CAST(NULL AS INT)" if value is None else _quote(value)
 
 
 def _quote(value) -> str:

@@ -34,3 +34,14 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-newsops-", dir="/tmp"))
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a scan of few splits one task per core; a scan of many splits stays as it is.
+
+    Reading 100 TB already yields far more splits than cores, so nothing is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores, *keys)

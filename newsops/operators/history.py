@@ -29,7 +29,8 @@ def insert_new(existing: DataFrame, rows: DataFrame, order: list[Column]) -> Dat
 
 def with_names(articles: DataFrame, topics: DataFrame, sources: DataFrame) -> DataFrame:
     """Inner joins to the topic and source names."""
-    return articles.join(topics.select("topic_id", F.col("name").alias("topic_name")), "topic_id").join(
+    bare = articles.drop("topic_name", "source_name")
+    return bare.join(topics.select("topic_id", F.col("name").alias("topic_name")), "topic_id").join(
         sources.select("source_id", F.col("name").alias("source_name")), "source_id"
     )
 

@@ -1,4 +1,4 @@
 """Registered queries over the test tables."""
 
-from . import matching, ranking, runs, scalar  # noqa: F401
+from . import bundles, matching, ranking, runs, scalar  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

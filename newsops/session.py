@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,17 +24,25 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the session names.
+def _shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="spark-newsops-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
-    The cluster sets ``spark.checkpoint.dir`` to shared storage.  Only where it is unset
-    (tests, one machine) is a fresh local folder used.
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage: write the rows to the shared checkpoint folder and read them back.
+
+    The cluster names the folder in ``spark.checkpoint.dir``; only where it is unset (tests,
+    one machine) a fresh local one is used.  Unlike a checkpointed plan, the written table has
+    real statistics, so later joins still choose broadcast or shuffle by size.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-newsops-", dir="/tmp"))
-    return df.checkpoint(eager)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark).rstrip('/')}/newsops-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -27,6 +27,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 def _shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-newsops-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -24,7 +24,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local["):
@@ -42,7 +42,7 @@ def cut(df: DataFrame) -> DataFrame:
     real statistics, so later joins still choose broadcast or shuffle by size.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/newsops-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/newsops-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

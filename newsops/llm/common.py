@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,3 +26,28 @@ def row_key(*columns: str) -> Column:
 
 def hex_sha256(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
+
+
+class Scratch:
+    """Intermediate tables of one operator in the shared folder, removed as soon as they are used up."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Write ``df``, which also cuts its lineage, and read it back with real statistics."""
+        path = f"{shared_folder(self.spark).rstrip('/')}/newsops-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        old, self.paths[name] = self.paths.get(name), path
+        if old:
+            self._remove(old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.paths.pop(name, None):
+                self._remove(path)
+
+    def _remove(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

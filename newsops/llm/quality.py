@@ -35,7 +35,7 @@ def line_spans(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
     line = np.searchsorted(breaks, starts)
     begins = np.flatnonzero(np.diff(line, prepend=-1))
-    return line[begins], begins, np.append(begins[1:], len(starts))
+    return line[begins], begins, np.append(begins[1:], len(starts)).astype(np.int64)[: len(begins)]
 
 
 def _figures(words: Words, symbol: np.ndarray, data: bytes):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, langid, linededup, mixing, neardup, quality
+from . import bpe, fingerprint, langid, licenses, linededup, mixing, neardup, quality, quotes, wrappers
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_named("op7_line_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
+@_named("op3_quotation_links")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotations(table(spark, sf_dir, "conversations"))
+
+
+@_named("op5_main_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
+@_named("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))

@@ -77,3 +77,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_named("op8_license_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@_named("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -24,8 +24,17 @@ def row_key(*columns: str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\u0000", *parts)))
 
 
-def hex_sha256(column: Column) -> Column:
-    return F.sha2(column.cast("binary"), 256)
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """(_row, _key): whole rows as one struct, so that no column of theirs can clash with a helper column."""
+    return docs.select(F.struct("*").alias("_row"), row_key(*columns).alias("_key"))
+
+
+def sized(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of ``docs`` out of ``_row``; ``n_chars``, where there is one, follows the text."""
+    kept = rows.select("_row.*")
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.withColumn("n_chars", F.coalesce(F.length(text).cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
 
 
 class Scratch:

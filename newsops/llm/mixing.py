@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..session import cut
-from .common import row_key
+from .common import packed, row_key
 
 WEIGHTS, BUDGET_SHARE, MAX_REPEATS = (3, 1, 2), 1.5, 2
 SEED, CELLS, DP_SPAN = 17, 1 << 12, 1 << 16
@@ -76,7 +76,7 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     whole = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= whole:
         return list(counts)
-    taken = [c * budget // whole for c in counts]
+    taken = [max(0, c * budget // whole - 1) for c in counts]        # one less, so that exact sums have room
     left = budget - sum(n * k for n, k in zip(lengths, taken, strict=True))
     longest_first = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     span = max(DP_SPAN, 2 * max(lengths))
@@ -154,9 +154,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
     copies = mix(docs, id_col, text, source, **how).groupBy("_key").agg(
         F.sort_array(F.collect_list(F.col("copies").cast("int"))).alias("_copies")     # rows of equal content
     )
-    keyed = docs.withColumn("_key", row_key(id_col, source, text)).join(copies, "_key")
-    keyed = keyed.withColumn("_row", F.row_number().over(W.partitionBy("_key").orderBy("_key")))
-    times = F.element_at("_copies", F.col("_row"))
-    return keyed.select(
-        *docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")
-    ).select(*docs.columns)
+    rows = packed(docs, id_col, source, text).join(copies, "_key")
+    rows = rows.withColumn("_place", F.row_number().over(W.partitionBy("_key").orderBy("_key")))
+    times = F.element_at("_copies", F.col("_place"))
+    return rows.select("_row", F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).select("_row.*")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key
+from .common import Scratch, packed, row_key
 from .components import components
 from .hashing import U64, Words, mix, windows
 
@@ -237,7 +237,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     first = found.where("_group is not null").groupBy("_group").agg(
         F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_key").alias("k"))).getField("k").alias("_key")
     )
-    keyed = docs.withColumn("_key", row_key(id_col, text))
+    keyed = packed(docs, id_col, text)
     one = keyed.join(first.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
     alone = keyed.join(found.where("_group is null").select("_key").distinct(), "_key", "left_semi")
-    return one.unionAll(alone).select(*docs.columns)
+    return one.unionAll(alone).select("_row.*")

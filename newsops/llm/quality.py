@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import row_key
+from .common import packed, row_key, sized
 from .hashing import Words, windows
 
 # Parameters of the rules.
@@ -156,12 +156,9 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hos
         return pa.array(out, pa.string())
 
     cleaned.__annotations__ = {"texts": pa.Array, "frequent": pa.Array, "return": pa.Array}
-    kept = docs.withColumn("_key", row_key(id_col, host, text)).join(judged, "_key")
-    kept = kept.withColumn(
-        text, F.when(F.col("_frequent").isNull(), F.col(text)).otherwise(
-            F.arrow_udf(cleaned, "string")(F.col(text), F.col("_frequent"))
-        ),
+    rows = packed(docs, id_col, host, text).join(judged, "_key")
+    whole = F.col("_row").getField(text)
+    row = F.when(F.col("_frequent").isNull(), F.col("_row")).otherwise(
+        F.col("_row").withField(text, F.arrow_udf(cleaned, "string")(whole, F.col("_frequent")))
     )
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return sized(rows.select(row.alias("_row")), docs, text)

@@ -55,7 +55,7 @@ def parsed(messages: DataFrame, text: str = "text") -> DataFrame:
         return F.filter(F.split(F.array_join(kept, "\n"), "\n{2,}"), lambda p: normalised(p) != "")
 
     return rows.withColumn(
-        "own_text", F.trim(F.regexp_replace(F.array_join(F.transform(own, lambda x: x.getField("line")), "\n"), "\n{3,}", "\n\n"))
+        "own_text", F.regexp_replace(F.array_join(F.transform(own, lambda x: x.getField("line")), "\n"), r"^\s+|\s+$|(?<=\n\n)\n+", "")
     ).withColumn("max_level", F.array_max(levels)).withColumn(
         "n_quoted", F.size(F.filter("_lines", lambda x: x.getField("level") > 0)).cast("bigint")
     ).withColumn("levels", F.transform(levels, lambda v: F.struct(v.alias("level"), passages(v).alias("passages")))).drop("_lines")

@@ -112,13 +112,10 @@ def link_quotations(
     )
 
     order = [F.col("turn"), F.col("_key")]
-    placed = distributed_position(parts.drop("levels"), ["conv"], order, "reply_order") if parts.take(1) else parts.drop(
-        "levels").withColumn("reply_order", F.lit(0).cast("bigint"))
-    placed = scratch.keep("placed", placed)
-    before = placed.select(F.col("conv").alias("_conv"), (F.col("reply_order") + 1).alias("_order"), F.col("turn").alias("_turn"))
-    rows = placed.join(before, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("reply_order") == F.col("_order")), "left").join(
-        chains, "_key", "left"
-    )
+    grouped = parts.drop("levels").withColumn("_group", F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit("-")))
+    placed = scratch.keep("placed", distributed_position(grouped, ["_group"], order, "reply_order"))
+    before = placed.select("_group", (F.col("reply_order") + 1).alias("reply_order"), F.col("turn").alias("_turn"))
+    rows = placed.join(before, ["_group", "reply_order"], "left").join(chains, "_key", "left")
     linked = F.col("answered").isNotNull()
     return rows.select(
         F.col("conv").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), "reply_order",

@@ -156,7 +156,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     half = F.col("class")                                  # a window is two halves long and starts at each half
     place = F.floor(F.col("at") / half)
     windows = hits.select("id", "_key", "class", "at", "h", F.explode(F.array(place - 1, place)).alias("window"))
-    window = ["id", "_key", "class", "window"]
+    window = ["_key", "class", "window"]                   # the key stands for the id, which may be null
     bands = _banded(windows.groupBy(*window).agg(*_minima()), *window)
     signatures = _banded(known.groupBy("license", "class").agg(*_minima()), "license", "class")
     candidates = bands.join(signatures, ["class", "band", "least"]).select(*window, "license").distinct()
@@ -164,9 +164,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     sizes = known.groupBy("license").agg(F.count_distinct("h").alias("of"))
     shared = (
         windows.join(candidates, window).join(known.select("license", "h"), ["license", "h"])
-        .groupBy(*window, "license").agg(F.count_distinct("h").alias("n"), F.min("at").alias("first_word"))
+        .groupBy(*window, "license").agg(F.count_distinct("h").alias("n"), F.min("at").alias("first_word"), F.min("id").alias("id"))
         .join(sizes, "license").withColumn("contained", F.col("n") / F.col("of")).where(F.col("contained") >= MIN_CONTAINED)
     )
-    return shared.groupBy("id", "_key", "license").agg(
-        F.max("contained").alias("contained"), F.min("first_word").alias("first_word"), F.count(F.lit(1)).alias("n_windows")
+    return shared.groupBy("_key", "license").agg(
+        F.min("id").alias("id"), F.max("contained").alias("contained"), F.min("first_word").alias("first_word"), F.count(F.lit(1)).alias("n_windows")
     ).select(F.col("id").alias(id_col), "license", "contained", F.col("first_word").cast("bigint").alias("first_word"), "n_windows")

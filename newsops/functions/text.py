@@ -244,12 +244,6 @@ def compact_text(c) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")
 
 
-def contains_term(c, term: str) -> Column:
-    if term.isascii():
-        return _col(c).rlike(rf"(?<![a-z]){re.escape(term)}(?![a-z])")
-    return _col(c).contains(term)
-
-
 def folded_title(c) -> Column:
     return F.replace(fold(c), F.lit("−"), F.lit("-"))
 

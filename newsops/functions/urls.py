@@ -55,7 +55,7 @@ def folded_url(c) -> Column:
 
 
 def _netloc(folded: Column) -> Column:
-    return F.substring(F.regexp_extract(folded, _PARTS, 1), 3, 100000)
+    return F.regexp_replace(F.regexp_extract(folded, _PARTS, 1), "(?s)^..", "")
 
 
 def _host_port(folded: Column) -> Column:

@@ -31,7 +31,7 @@ def select_sources(sources: DataFrame, ids: list[str] | None = None, category: s
         unknown = [r.source_id for r in wanted.join(sources, "source_id", "left_anti").take(5)]
         if unknown:
             raise ValueError(f"unknown source ids: {unknown}")
-        chosen = chosen.join(F.broadcast(wanted), "source_id", "left_semi")
+        chosen = chosen.join(wanted, "source_id", "left_semi")
     chosen = chosen.where(catalog_filter(category))
     if chosen.isEmpty():
         raise ValueError("no source matches the filters")
@@ -70,9 +70,11 @@ def sync_presets(sources: DataFrame, presets: DataFrame, version: int) -> DataFr
         kept.join(p, F.col("source_id") == F.col("p_id"))
     ).withColumn("priority", F.when(F.col("user_modified"), 0).otherwise(1) * 2 + F.when(F.col("source_id") == F.col("p_id"), 0).otherwise(1))
     by_url = kept.join(p, F.col("url") == F.col("p_url")).withColumn("priority", F.lit(9))
+    # one source for each preset, then one preset for each source
     found = top_per_group(
         by_identity.unionByName(by_url), ["p_id"], [F.col("priority"), F.col("source_id")], 1, "_rn"
-    ).drop("_rn", "priority")
+    ).drop("_rn")
+    found = top_per_group(found, ["source_id"], [F.col("priority"), F.col("p_id")], 1, "_rn").drop("_rn", "priority")
     take = ~F.col("user_modified")
     changed = found.select(
         "source_id", F.when(take, F.col("p_name")).otherwise(F.col("name")).alias("name"), "url",

@@ -73,7 +73,7 @@ def item_counts(items: DataFrame, topic_scope: DataFrame) -> DataFrame:
     )
     once = count_events(per_source.withColumn("topic_id", F.lit(None).cast("string")), "n")
     per_topic = (
-        per_source.join(F.broadcast(topic_scope), "source_id")
+        per_source.join(topic_scope, "source_id")
         .groupBy("run_id", F.lit("topic").alias("scope"), F.col("topic_id").alias("scope_id"), "counter")
         .agg(F.sum("n").alias("value"))
     )

@@ -27,7 +27,7 @@ def active_topics(topics: DataFrame, requested: list[str] | None = None) -> Data
     unknown = [r.topic_id for r in wanted.join(active, "topic_id", "left_anti").take(5)]
     if unknown:
         raise ValueError(f"unknown or disabled topics: {unknown}")
-    return active.join(F.broadcast(wanted), "topic_id", "left_semi")
+    return active.join(wanted, "topic_id", "left_semi")
 
 
 def topic_keywords(topics: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def _scope_pairs(articles: DataFrame, topics: DataFrame) -> DataFrame:
         "topic_id", F.explode(F.array(*[F.lit(t) for t in everywhere]).cast("array<string>"))
     )
     limited_pairs = articles.join(
-        F.broadcast(limited), F.col("source_id") == F.col("only"), "inner"
+        limited, F.col("source_id") == F.col("only"), "inner"
     ).drop("only")
     return open_pairs.unionByName(limited_pairs)
 
@@ -182,9 +182,11 @@ def _match_literal(articles, config, scopes, keep_unmatched) -> DataFrame:
 
 
 def _match_by_anchor(articles, topics, keywords, keep_unmatched) -> DataFrame:
-    ready = _searchable(articles)
+    """Rows equal in id, source and texts are tested once; each of them gets the evidence."""
+    keyed = articles.withColumn("_row", F.sha2(F.to_json(F.struct("article_id", "source_id", *FIELDS)), 256))
+    ready = _searchable(keyed.select("_row", "source_id", *FIELDS).dropDuplicates(["_row"]))
     tokens = ready.select(
-        "article_id", "source_id",
+        "_row", "source_id",
         F.explode(F.array_distinct(F.concat(*[text.text_tokens(f"_{f}") for f in FIELDS]))).alias("anchor"),
     )
     scope = topics.select("topic_id", "source_ids")
@@ -192,26 +194,26 @@ def _match_by_anchor(articles, topics, keywords, keep_unmatched) -> DataFrame:
         tokens.join(keywords, "anchor")
         .join(scope, "topic_id")
         .where(in_scope(F.col("source_ids"), F.col("source_id")))
-        .select("article_id", "topic_id", "role", "pos", "word", "pattern")
+        .select("_row", "topic_id", "role", "pos", "word", "pattern")
     )
-    tested = ready.select("article_id", *[f"_{f}" for f in FIELDS]).join(candidates, "article_id")
+    tested = ready.select("_row", *[f"_{f}" for f in FIELDS]).join(candidates, "_row")
     grouped = (
         tested.select(
-            "article_id", "topic_id",
+            "_row", "topic_id",
             F.struct("role", "pos", "word", _hit_fields(F.col("pattern")).alias("fields")).alias("hit"),
         )
         .where(F.size("hit.fields") > 0)
-        .groupBy("article_id", "topic_id")
+        .groupBy("_row", "topic_id")
         .agg(F.collect_list("hit").alias("_hits"))       # at most one row per keyword of a topic
     )
     if keep_unmatched:
-        base = _scope_pairs(articles, topics).join(grouped, ["article_id", "topic_id"], "left")
+        base = _scope_pairs(keyed, topics).join(grouped, ["_row", "topic_id"], "left")
     else:
-        base = articles.join(grouped, "article_id")
+        base = keyed.join(grouped, "_row")
     empty = F.array().cast("array<struct<role:string,pos:int,word:string,fields:array<string>>>")
     return base.withColumn("_hits", F.coalesce("_hits", empty)).withColumns(
         _evidence(F.col("_hits"))
-    ).drop("_hits")
+    ).drop("_hits", "_row")
 
 
 def keyword_score(matched_keywords="matched_keywords", keyword_fields="keyword_fields") -> Column:

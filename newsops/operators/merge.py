@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .rank import top_per_group
 
-RUN_IDENTITY = ("status", "outcome", "started_at", "finished_at")
+NOT_CONTENT = ("run_id", "article_count")       # what a run may differ in and still be the same run
 
 
 def import_hash(supplied, url="canonical_url", title="norm_title") -> Column:
@@ -86,9 +86,9 @@ def match_names(incoming: DataFrame, local: DataFrame, key: str) -> DataFrame:
     )
 
 
-def run_fingerprint() -> Column:
-    """Content of a run without its article count, which the merge recomputes."""
-    return F.sha2(F.to_json(F.struct(*sorted(RUN_IDENTITY))), 256)
+def run_fingerprint(columns: list[str]) -> Column:
+    """Content of a run: all given columns but its id and its article count, which the merge recomputes."""
+    return F.sha2(F.to_json(F.struct(*sorted(set(columns) - set(NOT_CONTENT))), {"ignoreNullFields": "false"}), 256)
 
 
 def remapped_id(run_id, fingerprint) -> Column:
@@ -98,8 +98,9 @@ def remapped_id(run_id, fingerprint) -> Column:
 
 def match_runs(incoming: DataFrame, local: DataFrame) -> DataFrame:
     """(run_id, local_id, state, conflict): matched, new, or remapped when the id is taken."""
-    mine = local.select(F.col("run_id").alias("l_id"), run_fingerprint().alias("l_print"))
-    j = incoming.select("run_id", run_fingerprint().alias("print")).withColumn("new_id", remapped_id(F.col("run_id"), F.col("print")))
+    both = [c for c in incoming.columns if c in local.columns]
+    mine = local.select(F.col("run_id").alias("l_id"), run_fingerprint(both).alias("l_print"))
+    j = incoming.select("run_id", run_fingerprint(both).alias("print")).withColumn("new_id", remapped_id(F.col("run_id"), F.col("print")))
     j = j.join(mine, F.col("run_id") == F.col("l_id"), "left")
     again = mine.select(F.col("l_id").alias("r_id"), F.col("l_print").alias("r_print"))
     j = j.join(again, F.col("new_id") == F.col("r_id"), "left")
@@ -160,11 +161,11 @@ def recount(runs: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def latest_imported(runs: DataFrame, merged: DataFrame) -> DataFrame:
-    """Newest usable run that received new articles."""
+    """Newest usable run that received new articles; ties go to the later ordinal."""
     usable = runs.where(F.col("status").isin("complete", "degraded"))
     got = merged.where("state = 'new'").select("run_id")
     return usable.join(got, "run_id", "left_semi").agg(
-        F.max_by("run_id", F.struct(F.coalesce("finished_at", "started_at"), "started_at", "run_id")).alias("run_id")
+        F.max_by("run_id", F.struct(F.coalesce("finished_at", "started_at"), "started_at", "ordinal")).alias("run_id")
     )
 
 

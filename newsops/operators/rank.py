@@ -7,10 +7,8 @@ executes as a per-task group limit before the shuffle: a hot topic or source sen
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..session import cut
@@ -25,13 +23,14 @@ ENRICHMENT_MAX = 100
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n, name: str = "position") -> DataFrame:
     """First ``n`` rows per group.  ``n`` may be a number or a per-row limit column.
 
-    A per-row limit is also bounded by the constant it can never exceed (100), so that the
-    group limit still applies before the shuffle.
+    A per-row limit may be 100 at most, which is the group limit that applies before the shuffle; a
+    greater one is an error.
     """
     ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     if isinstance(n, int):
         return ranked.where(F.col(name) <= n)
-    return ranked.where(F.col(name) <= SHORTLIST_MAX).where(F.col(name) <= n)
+    allowed = F.when(n > SHORTLIST_MAX, F.raise_error(F.lit(f"a row limit is at most {SHORTLIST_MAX}")).cast("boolean"))
+    return ranked.where(F.col(name) <= SHORTLIST_MAX).where(allowed.otherwise(F.col(name) <= n))
 
 
 def newest_first(published="published_rank", url="canonical_url", id_col="article_id") -> list[Column]:
@@ -135,95 +134,76 @@ def unprocessed_remainder(df: DataFrame, reviewed: DataFrame, keys: list[str]) -
 # Selection of one run
 # ---------------------------------------------------------------------------
 def cross_topic_twins(df: DataFrame, run: str, id_col: str) -> DataFrame:
-    """Per row, the run's other rows it would duplicate if they were taken first.
+    """(a, b): rows of a run of which b would duplicate a if a were taken first.
 
     Input is a shortlist capped per topic and free of repeats inside a topic.
     """
-    edges = duplicate_edges(df, id_col, scope=[run])
-    return edges.groupBy(F.col("b").alias(id_col)).agg(F.collect_set("a").alias("twins"))
+    return duplicate_edges(df, id_col, scope=[run]).select("a", "b").distinct()
 
 
-def take_turns(rows: pd.DataFrame) -> pd.DataFrame:
-    """One run: review shortlists in turn until quotas are met, then select in turn.
+def _planned(pool: DataFrame, twins: DataFrame) -> DataFrame:
+    """``pool`` with trial (the turn in which its topic reaches the row) and skipped.
 
-    ``rows`` holds a run's shortlisted, scored rows with ``twins`` (ids that a row duplicates
-    once they are taken), ``review_pos``, ``qualifies``, ``limit`` and rank values.
+    Topics take turns; in its turn a topic takes its best row that no row taken before it makes a
+    repeat.  A row's turn follows from the number of unskipped rows ranked before it, so for a given set
+    of skipped rows all turns are one window, and the rows that then meet an earlier taken twin are one
+    join.  Starting from no skipped row, every round settles at least the earliest open turn; the plan
+    is the set that reproduces itself.
     """
-    topics = [t for _, t in sorted({(o, t) for o, t in zip(rows.topic_ord, rows.topic_id)})]
-    queue = {t: g.sort_values("review_pos").to_dict("records") for t, g in rows.groupby("topic_id")}
-    limits = {t: int(q[0]["article_limit"]) for t, q in queue.items()}
-    pool: dict = {t: [] for t in topics}
-    cursor = dict.fromkeys(topics, 0)
-
-    def plan():
-        order = {
-            t: sorted(pool[t], key=lambda r: (-r["score"], -r["published_rank"], r["review_pos"])) for t in topics
-        }
-        at, taken, chosen, skipped = dict.fromkeys(topics, 0), set(), {t: [] for t in topics}, []
-        moving = True
-        while moving:
-            moving = False
-            for t in topics:
-                while len(chosen[t]) < limits[t] and at[t] < len(order[t]):
-                    row = order[t][at[t]]
-                    at[t] += 1
-                    if row["row_id"] in taken or taken.intersection(row["twins"]):
-                        skipped.append(row)
-                        continue
-                    chosen[t].append(row)
-                    taken.add(row["row_id"])
-                    moving = True
-                    break
-        return chosen, skipped
-
-    reviewed: list = []
-    filled: dict = {}
-    moving = True
-    while moving:
-        moving = False
-        for t in topics:
-            if len(pool[t]) >= limits[t]:
-                if t not in filled:
-                    chosen, _ = plan()
-                    filled = {k: len(v) >= limits[k] for k, v in chosen.items()}
-                if filled[t]:
-                    continue
-            if cursor[t] >= len(queue[t]):
-                continue
-            row = queue[t][cursor[t]]
-            cursor[t] += 1
-            moving = True
-            reviewed.append(row)
-            if row["qualifies"]:
-                pool[t].append(row)
-                filled = {}
-    chosen, skipped = plan()
-    status = {(r["topic_id"], r["article_id"]): ("reviewed", 0) for r in reviewed}
-    status.update({(r["topic_id"], r["article_id"]): ("run_duplicate", 0) for r in skipped})
-    for t, picks in chosen.items():
-        status.update({(t, r["article_id"]): ("selected", i) for i, r in enumerate(picks, 1)})
-    return pd.DataFrame(
-        [(rows.run_id.iloc[0], t, a, s, i) for (t, a), (s, i) in status.items()],
-        columns=["run_id", "topic_id", "article_id", "status", "rank"],
-    )
+    best = [F.col("score").desc(), F.col("published_rank").desc(), F.col("review_pos")]
+    before = W.partitionBy("run_id", "topic_id").orderBy(*best).rowsBetween(W.unboundedPreceding, -1)
+    skipped = pool.select("row_id").limit(0)
+    while True:
+        marked = pool.join(skipped.withColumn("skipped", F.lit(True)), "row_id", "left").withColumn(
+            "skipped", F.coalesce("skipped", F.lit(False))
+        )
+        turn = F.coalesce(F.sum((~F.col("skipped")).cast("int")).over(before), F.lit(0)) + 1
+        plan = cut(marked.withColumn("trial", turn).withColumn("reached", F.col("trial") <= F.col("article_limit")))
+        at = F.struct("trial", "topic_ord", "topic_id").alias("at")
+        taken = plan.where("reached AND NOT skipped").select(F.col("row_id").alias("a"), at)
+        meets = plan.where("reached").select(F.col("row_id").alias("b"), at.alias("own")).join(twins, "b").join(taken, "a")
+        again = cut(meets.where(F.col("at") < F.col("own")).select(F.col("b").alias("row_id")).distinct())
+        same = again.join(skipped, "row_id", "full_outer").agg(F.count(F.lit(1))).first()[0]
+        if same == again.count() == skipped.count():
+            return plan
+        skipped = again
 
 
 def select_for_run(shortlist: DataFrame) -> DataFrame:
-    """Review and selection of each run, runs in parallel.
+    """Review and selection, all runs and topics at once: (run_id, topic_id, article_id, status, rank).
 
-    ``shortlist`` must be capped per topic (:func:`shortlist_limit`), which bounds the rows of
-    one group; see :func:`take_turns` for its columns.
+    A topic reviews its shortlist in order until it has as many qualifying rows as its limit, then the
+    topics take turns.  Topics that other topics' picks leave short review on until they have the
+    missing number of further qualifying rows, and the turns are planned anew.  ``shortlist`` must be
+    capped per topic (:func:`shortlist_limit`).
     """
-    schema = T.StructType([
-        T.StructField("run_id", T.StringType()), T.StructField("topic_id", T.StringType()),
-        T.StructField("article_id", shortlist.schema["article_id"].dataType),
-        T.StructField("status", T.StringType()), T.StructField("rank", T.IntegerType()),
-    ])
-    narrow = shortlist.withColumn("row_id", F.concat_ws("|", "run_id", "topic_id", F.col("article_id").cast("string")))
-    twins = cross_topic_twins(narrow, "run_id", "row_id")
-    ready = narrow.join(twins, "row_id", "left").select(
-        "run_id", "topic_id", "topic_ord", "article_id", "row_id", "review_pos", "score",
-        "published_rank", "qualifies", "article_limit",
-        F.coalesce("twins", F.array().cast("array<string>")).alias("twins"),
+    rows = cut(shortlist.select(
+        "run_id", "topic_id", "topic_ord", "article_id", "review_pos", "score", "published_rank", "qualifies", "article_limit",
+        F.concat_ws("|", "run_id", "topic_id", F.col("article_id").cast("string")).alias("row_id"),
+        F.coalesce(F.sum(F.col("qualifies").cast("int")).over(
+            W.partitionBy("run_id", "topic_id").orderBy("review_pos").rowsBetween(W.unboundedPreceding, -1)
+        ), F.lit(0)).alias("_before"),
+    ))
+    twins = cut(cross_topic_twins(shortlist.withColumn(
+        "row_id", F.concat_ws("|", "run_id", "topic_id", F.col("article_id").cast("string"))), "run_id", "row_id"))
+    topic = ["run_id", "topic_id"]
+    wanted = cut(rows.groupBy(*topic).agg(F.max("article_limit").alias("wanted")))
+    while True:                                    # ends: every round reviews more rows or leaves no topic short
+        reviewed = rows.join(wanted, topic).where(F.col("_before") < F.col("wanted"))
+        plan = _planned(reviewed.where("qualifies"), twins)
+        chosen = plan.where("reached AND NOT skipped").groupBy(*topic).agg(F.count(F.lit(1)).alias("chosen"))
+        left = rows.join(wanted, topic).where(F.col("_before") >= F.col("wanted")).select(*topic).distinct()
+        short = rows.groupBy(*topic).agg(F.max("article_limit").alias("limit")).join(left, topic, "left_semi").join(
+            chosen, topic, "left").select(*topic, (F.col("limit") - F.coalesce("chosen", F.lit(0))).alias("missing")).where("missing > 0")
+        short = cut(short)
+        if short.isEmpty():
+            break
+        wanted = cut(wanted.join(short, topic, "left").select(*topic, (F.col("wanted") + F.coalesce("missing", F.lit(0))).alias("wanted")))
+    status = F.when(F.col("reached") & ~F.col("skipped"), "selected").when(F.col("reached") & F.col("skipped"), "run_duplicate")
+    done = reviewed.select(*topic, "article_id", "row_id").join(
+        plan.select("row_id", status.alias("status"), F.when(status == "selected", F.col("trial")).alias("rank")), "row_id", "left"
+    )
+    return done.select(
+        *topic, "article_id", F.coalesce("status", F.lit("reviewed")).alias("status"),
+        F.coalesce("rank", F.lit(0)).cast("int").alias("rank"),
     )
-    return ready.groupBy("run_id").applyInPandas(take_turns, schema)

@@ -10,18 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..schemas import REASONS, SCORE_FIELDS
+from ..session import cut
 
 # Policy of the score cache and the per-run cap.
 POLICY_VERSION = 2
 CACHE_DAYS = 7
 MAX_CALLS_PER_RUN = 500
 MAX_TEXT = 12000
-LEGACY_MODEL = "deepseek-chat"
-LEGACY_RULE_TEXTS = (
-    "DeepSeek 本次未生成分析；已使用关键词规则初筛。",
-    "关键词规则初筛；配置 DeepSeek API Key 后可获得 AI 分析。",
-    "已达到单次 AI 分析安全上限；使用关键词规则初筛。",
-)
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -61,16 +56,6 @@ def analysis_mode(has_model: Column, from_cache: Column, literal: Column, model_
     )
 
 
-def legacy_provenance(analysis) -> Column:
-    """(mode, model) of rows stored before provenance was recorded."""
-    text = F.trim(F.coalesce(analysis, F.lit("")))
-    rules = (text == "") | text.isin(*LEGACY_RULE_TEXTS)
-    return F.struct(
-        F.when(rules, "rules").otherwise("ai_legacy").alias("mode"),
-        F.when(~rules, F.lit(LEGACY_MODEL)).alias("model"),
-    )
-
-
 # ---------------------------------------------------------------------------
 # Identity of a scored text
 # ---------------------------------------------------------------------------
@@ -168,9 +153,9 @@ def call_scorer(misses: DataFrame, scorer: Scorer, run: str, order: list[Column]
             "parsed", parse_model_output(F.col("raw"))
         )
 
-    first = answers(request)
+    first = cut(answers(request))                 # asked once: both branches below read the answers
     good = first.where("parsed.valid")
-    retry = answers(request.join(first.where("NOT parsed.valid").select("cache_key"), "cache_key", "left_semi"))
+    retry = cut(answers(request.join(first.where("NOT parsed.valid").select("cache_key"), "cache_key", "left_semi")))
     return good.unionByName(retry).select("cache_key", F.col("parsed").alias("fresh_score"))
 
 

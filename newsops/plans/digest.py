@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import dates, text, urls
 from ..operators import dedup, funnel, match, rank, score
@@ -89,7 +90,7 @@ def digest(
     live = sources.where(F.col("enabled") & ~F.col("archived")).select("source_id", "source_ord")
 
     dated = (
-        articles.join(F.broadcast(live), "source_id")
+        articles.join(live, "source_id")
         .withColumn("published", dates.published_timestamp("published_at"))
         .withColumn("date_reason", dates.date_reason("published_at", "published", as_of, days))
         .withColumn("run_id", F.lit(run_id))
@@ -116,7 +117,7 @@ def digest(
     else:
         judged = same_hash(candidates)
     judged = cut(judged)
-    kept = judged.where("is_kept").join(F.broadcast(config), "topic_id")
+    kept = judged.where("is_kept").join(config, "topic_id")
 
     order = rank.newest_first()
     shortlist = rank.round_robin(kept, ["topic_id"], "source_id", "source_ord", order, rank.SHORTLIST_MAX, "review_pos")
@@ -162,18 +163,21 @@ def digest(
 
 
 def same_hash(df: DataFrame) -> DataFrame:
-    """Keep the preferred row per (topic, content hash) and per exact title identity."""
-    pref = F.struct(*preference(), "row_id")
+    """Mark the preferred row per topic: first of equal (URL, title), then of equal long titles and material.
+
+    The first step looks at the content hash alone, whatever the material, as :func:`dedup.keep_first`
+    does; a row that falls there does not count in the second step.
+    """
+    pref = [*preference(), F.col("row_id")]
+    by_hash = F.row_number().over(W.partitionBy("topic_id", "content_hash").orderBy(*pref))
+    marked = df.withColumn("_first", by_hash == 1)
     identity = F.when(
-        F.length("norm_title") >= dedup.MIN_CROSS_URL_TITLE, F.concat_ws("\n", "norm_title", "material")
-    ).otherwise(F.col("content_hash"))
-    keyed = df.withColumn("_identity", identity).withColumn("_pref", pref)
-    best = keyed.groupBy("topic_id", "_identity").agg(F.min("_pref").alias("_best"))
-    return (
-        keyed.join(best, ["topic_id", "_identity"])
-        .withColumn("is_kept", F.col("_pref") == F.col("_best"))
-        .drop("_identity", "_pref", "_best")
-    )
+        F.col("_first") & (F.length("norm_title") >= dedup.MIN_CROSS_URL_TITLE), F.concat_ws("\n", "norm_title", "material")
+    ).otherwise(F.concat(F.lit("\n\n"), "row_id"))
+    by_title = F.row_number().over(W.partitionBy("topic_id", "_identity").orderBy(*pref))
+    return marked.withColumn("_identity", identity).withColumn(
+        "is_kept", F.col("_first") & (by_title == 1)
+    ).drop("_first", "_identity")
 
 
 def enrich(shortlist: DataFrame, page_bodies: DataFrame, topics: DataFrame) -> DataFrame:

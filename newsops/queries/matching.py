@@ -18,13 +18,13 @@ def _live(spark, sf_dir):
 
 def _fresh_live(spark, sf_dir):
     live = _live(spark, sf_dir).select("source_id", "source_ord")
-    return V.fresh_articles(spark, sf_dir).join(F.broadcast(live), "source_id")
+    return V.fresh_articles(spark, sf_dir).join(live, "source_id")
 
 
 def matches(spark, sf_dir, keep_unmatched=False):
     topics = match.active_topics(V.topics(spark))
     df = match.match_topics(_fresh_live(spark, sf_dir), topics, keep_unmatched)
-    return df.withColumn("lexical_score", match.keyword_score()).join(F.broadcast(D.settings(topics)), "topic_id")
+    return df.withColumn("lexical_score", match.keyword_score()).join(D.settings(topics), "topic_id")
 
 
 @query("keyword_hits", V.sql(*_BASE, select="""
@@ -36,7 +36,7 @@ def keyword_hits(spark, sf_dir):
     )
 
 
-@query("keyword_evidence", V.sql(*_BASE, select="""
+_EVIDENCE = V.sql(*_BASE, select="""
 SELECT v.topic_id, v.article_id, v.words AS keywords, f.fields, f.n_fields FROM verdict v JOIN (
   SELECT article_id, topic_id,
     concat_ws('|', CASE WHEN min(p) FILTER (field = 'title') IS NOT NULL THEN 'title' END,
@@ -47,9 +47,11 @@ SELECT v.topic_id, v.article_id, v.words AS keywords, f.fields, f.n_fields FROM
     UNION ALL SELECT article_id, topic_id, pos * 10 + 1, 'excerpt' FROM hit WHERE role = 'in' AND in_excerpt
     UNION ALL SELECT article_id, topic_id, pos * 10 + 2, 'full_text' FROM hit WHERE role = 'in' AND in_full)
   GROUP BY ALL) f USING (article_id, topic_id)
-WHERE v.n_in > 0 AND v.n_ex = 0"""))
-def keyword_evidence(spark, sf_dir):
-    return matches(spark, sf_dir).where("matched").select(
+WHERE v.n_in > 0 AND v.n_ex = 0""")
+
+
+def _evidence(df):
+    return df.where("matched").select(
         "topic_id", "article_id", F.array_join("matched_keywords", "|").alias("keywords"),
         # compared as a set in fixed order; the first-seen order is tested on fixtures
         F.array_join(F.filter(
@@ -59,6 +61,19 @@ def keyword_evidence(spark, sf_dir):
     )
 
 
+@query("keyword_evidence", _EVIDENCE)
+def keyword_evidence(spark, sf_dir):
+    return _evidence(matches(spark, sf_dir))
+
+
+@query("keyword_evidence_anchor", _EVIDENCE)
+def keyword_evidence_anchor(spark, sf_dir):
+    """The route of large topic sets, over rows that each occur twice: the same evidence on every row."""
+    rows = _fresh_live(spark, sf_dir)
+    topics = match.active_topics(V.topics(spark))
+    return _evidence(match.match_topics(rows.unionByName(rows), topics, literal_limit=0)).distinct()
+
+
 @query("keyword_scores", V.sql(*_BASE, select="""
 SELECT topic_id, article_id, score, CASE WHEN score >= 80 THEN '80-100' WHEN score >= 60 THEN '60-79'
   WHEN score >= 40 THEN '40-59' ELSE '0-39' END AS band FROM verdict WHERE n_in > 0 AND n_ex = 0"""))
@@ -121,7 +136,7 @@ def freshness_by_source(spark, sf_dir):
         V.dated_articles(spark, sf_dir).where("date_reason IS NOT NULL")
         .groupBy("source_id", F.col("date_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
     )
-    return per_source.join(F.broadcast(scope), "source_id").groupBy("topic_id", "reason").agg(F.sum("n").alias("rejected"))
+    return per_source.join(scope, "source_id").groupBy("topic_id", "reason").agg(F.sum("n").alias("rejected"))
 
 
 def _items_sql() -> str:
@@ -147,7 +162,7 @@ def funnel_item_counts(spark, sf_dir):
     srcs = V.sources(spark, sf_dir)
     scope = D.topic_scope(match.active_topics(V.topics(spark)), srcs).select("topic_id", "source_id")
     items = (
-        V.dated_articles(spark, sf_dir).join(F.broadcast(_live(spark, sf_dir).select("source_id")), "source_id")
+        V.dated_articles(spark, sf_dir).join(_live(spark, sf_dir).select("source_id"), "source_id")
         .select(F.lit("run").alias("run_id"), "source_id", "date_reason")
     )
     return funnel.with_aliases(funnel.item_counts(items, scope)).drop("run_id")

@@ -132,9 +132,11 @@ def preference_order(spark, sf_dir):
 @query("dedup_same_hash", V.sql(*_FULL, select="""
 SELECT topic_id, article_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY topic_id,
-    CASE WHEN length(norm_title) >= 12 THEN norm_title || chr(10) || material ELSE canonical_url || chr(10) || norm_title END
+    CASE WHEN first_of_hash = 1 AND length(norm_title) >= 12 THEN norm_title || chr(10) || material ELSE 'row ' || article_id END
     ORDER BY score DESC, length(full_text) DESC, published DESC, canonical_url, topic_id || '|' || article_id) AS rn
-  FROM named WHERE n_in > 0 AND n_ex = 0) WHERE rn = 1"""))
+  FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, canonical_url, norm_title
+      ORDER BY score DESC, length(full_text) DESC, published DESC, canonical_url, topic_id || '|' || article_id) AS first_of_hash
+    FROM named WHERE n_in > 0 AND n_ex = 0)) WHERE first_of_hash = 1 AND rn = 1"""))
 def dedup_same_hash(spark, sf_dir):
     pool = literal_pool(spark, sf_dir).withColumn("content_hash", score.content_hash()).withColumn(
         "row_id", F.concat_ws("|", "topic_id", F.col("article_id").cast("string"))
@@ -221,6 +223,30 @@ def dedup_keep_first(spark, sf_dir):
     )
 
 
+@query("dedup_keep_first_exact_contained", V.sql(V.ARTICLES, V.TITLED, """
+ranked AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, article_id) AS n FROM titled),
+before AS (SELECT b.n, list(a.n) AS earlier FROM ranked a JOIN ranked b ON a.n < b.n AND (
+    (a.canonical_url = b.canonical_url AND a.norm_title = b.norm_title)
+    OR (a.material = b.material AND length(a.norm_title) >= 12 AND length(b.norm_title) >= 12
+      AND least(length(a.norm_title), length(b.norm_title)) >= 0.78 * greatest(length(a.norm_title), length(b.norm_title))
+      AND (contains(a.norm_title, b.norm_title) OR contains(b.norm_title, a.norm_title)))) GROUP BY b.n),
+walk AS (
+  SELECT 0::BIGINT AS n, []::BIGINT[] AS kept, []::BIGINT[] AS causes
+  UNION ALL
+  SELECT r.n, CASE WHEN list_has_any(w.kept, coalesce(b.earlier, [])) THEN w.kept ELSE list_append(w.kept, r.n) END,
+    list_intersect(w.kept, coalesce(b.earlier, []))
+  FROM walk w JOIN ranked r ON r.n = w.n + 1 LEFT JOIN before b ON b.n = r.n)""", select="""
+SELECT r.article_id, len(w.causes) = 0 AS is_kept, d.article_id AS duplicate_of
+FROM ranked r JOIN walk w USING (n) LEFT JOIN ranked d ON d.n = list_min(w.causes)""").replace("WITH ", "WITH RECURSIVE ", 1))
+def dedup_keep_first_exact_contained(spark, sf_dir):
+    """The greedy pass with the rules that SQL can say; the similarity rules are tested on fixtures."""
+    df = V.fingerprints(V.articles(spark, sf_dir).drop("full_text", "excerpt"))
+    return dedup.keep_first(
+        df, "article_id", [(-F.unix_micros("created_at")).alias("newest")],
+        rules=("same_url_exact", "cross_url_exact", "cross_url_contained"),
+    ).select("article_id", "is_kept", "duplicate_of")
+
+
 # -- whole runs ---------------------------------------------------------------
 @query("topic_digest", V.sql(
     V.ARTICLES.replace("INTERVAL 7 DAY", "INTERVAL 3 DAY"), V.TOPICS, V.SOURCES, V.MATCHES, V.titled("verdict", "named"), V.titled("articles", "past_all"), f"""
@@ -228,9 +254,12 @@ newer AS (
   SELECT n.* FROM named n WHERE n_in > 0 AND n_ex = 0 AND topic_id = 't1' AND NOT EXISTS (
     SELECT 1 FROM past_all p WHERE {_PAST.replace('created_at', 'p.created_at')} AND p.norm_title <> '' AND p.norm_title = n.norm_title
       AND p.material = n.material AND (length(n.norm_title) >= 12 OR p.canonical_url = n.canonical_url))),
+hashed AS (SELECT *, row_number() OVER (PARTITION BY canonical_url, norm_title
+    ORDER BY score DESC, length(full_text) DESC, published DESC, canonical_url, article_id) AS first_of_hash FROM newer),
 uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
-    CASE WHEN length(norm_title) >= 12 THEN norm_title || chr(10) || material ELSE canonical_url || chr(10) || norm_title END
-    ORDER BY score DESC, length(full_text) DESC, published DESC, canonical_url, article_id) AS rn FROM newer) WHERE rn = 1),
+    CASE WHEN first_of_hash = 1 AND length(norm_title) >= 12 THEN norm_title || chr(10) || material ELSE 'row ' || article_id END
+    ORDER BY score DESC, length(full_text) DESC, published DESC, canonical_url, article_id) AS rn FROM hashed)
+  WHERE first_of_hash = 1 AND rn = 1),
 turns AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY published DESC, canonical_url, article_id) AS turn FROM uniq),
 placed AS (SELECT *, row_number() OVER (ORDER BY turn, source_ord, source_id) AS position FROM turns),
 taken AS (SELECT *, row_number() OVER (ORDER BY position) AS review_rank FROM placed

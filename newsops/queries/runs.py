@@ -247,7 +247,7 @@ SELECT tier, count(*) AS articles FROM (
   LEFT JOIN snap b ON b.run_id = s.run_id AND lower(b.name) = lower(t.name)) GROUP BY tier"""))
 def threshold_snapshots(spark, sf_dir):
     topics = V.topics(spark).select("topic_id", F.col("name").alias("topic_name"))
-    df = stored(spark, sf_dir).drop("full_text", "excerpt").join(F.broadcast(topics), "topic_id")
+    df = stored(spark, sf_dir).drop("full_text", "excerpt").join(topics, "topic_id")
     snaps = df.groupBy("run_id", "topic_id", "topic_name").agg(F.count(F.lit(1)).alias("n")).select(
         "run_id", F.when(F.length("run_id") % 2 == 0, F.concat(F.lit("x-"), "topic_id")).otherwise(F.col("topic_id")).alias("topic_id"),
         F.upper("topic_name").alias("name"), (50 + F.col("n") % 40).alias("core_threshold"), F.lit(40).alias("supplement_threshold"),

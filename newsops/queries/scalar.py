@@ -275,6 +275,6 @@ def effective_settings(spark, sf_dir):
     )
     return (
         scoped.groupBy("topic_id", "lang").agg(F.sum("n").alias("articles"))
-        .join(F.broadcast(settings(topics)), "topic_id")
+        .join(settings(topics), "topic_id")
         .select("topic_id", "lang", "threshold", "supplement_threshold", "article_limit", "articles")
     )

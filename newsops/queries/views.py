@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
-from ..session import spread
 
 AS_OF = "2024-01-28 00:00:00"
 
@@ -30,7 +29,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "ts")
     step = max(1, events.count() // docs.count())          # parquet footers only
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page_url"))
-    dated = spread(docs, "doc_id").join(events, F.col("event_id") == F.col("doc_id") * step, "left").join(
+    dated = docs.join(events, F.col("event_id") == F.col("doc_id") * step, "left").join(
         pages, F.col("page_id") == F.col("doc_id"), "left"
     )
     when = F.date_trunc("second", F.col("ts").cast("timestamp"))
@@ -131,11 +130,19 @@ _UNIT = r"""CASE regexp_replace(split_part({0}, chr(2), 2), '\s+', ' ', 'g')
   WHEN 'dollar' THEN 'usd' WHEN 'dollars' THEN 'usd' WHEN 'euro' THEN 'eur' WHEN 'euros' THEN 'eur' WHEN 'rmb' THEN 'cny'
   WHEN 'ton' THEN 'tonne' WHEN 'tons' THEN 'tonne' WHEN 'tonnes' THEN 'tonne'
   ELSE regexp_replace(split_part({0}, chr(2), 2), '\s+', ' ', 'g') END"""
+_MONTHS = (
+    "january jan", "february feb", "march mar", "april apr", "may", "june jun", "july jul", "august aug", "september sept sep",
+    "october oct", "november nov", "december dec",
+)
 _MONTH_SQL = " ".join(
-    f"WHEN w IN ({', '.join(repr(n) for n in names.split())}) THEN 'month-{i}'" for i, names in enumerate(text.MONTHS, 1)
+    f"WHEN w IN ({', '.join(repr(n) for n in names.split())}) THEN 'month-{i}'" for i, names in enumerate(_MONTHS, 1)
+)
+_DATE_WORDS = ", ".join(repr(w) for names in _MONTHS for w in names.split()) + ", 'yesterday', 'today', 'tomorrow'"
+# Written out here, apart from the library's own list.
+_STAGES = (
+    "'approved', 'cancelled', 'canceled', 'completed', 'confirmed', 'delayed', 'denied', 'draft', 'effective', 'enforced', "
+    "'implemented', 'lowered', 'passed', 'postponed', 'proposed', 'raised', 'scheduled'"
 )
-_DATE_WORDS = ", ".join(repr(w) for names in text.MONTHS for w in names.split()) + ", 'yesterday', 'today', 'tomorrow'"
-_STAGES = ", ".join(repr(w) for w in text.STAGE_TERMS_LATIN)
 
 
 def titled(source: str = "articles", name: str = "titled") -> str:

@@ -45,14 +45,3 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/newsops-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan of few splits one task per core; a scan of many splits stays as it is.
-
-    Reading 100 TB already yields far more splits than cores, so nothing is shuffled there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > cores:
-        return df
-    return df.repartition(cores, *keys)

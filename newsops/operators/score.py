@@ -136,27 +136,59 @@ def cached_scores(candidates: DataFrame, cache: DataFrame, as_of: Column) -> Dat
     return candidates.join(live, "cache_key", "left").withColumn("cache_hit", F.col("cached").isNotNull())
 
 
+def _guarded(scorer: Scorer) -> Scorer:
+    """A batch on which the scorer fails comes back unanswered instead of ending the job."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            try:
+                yield pd.concat([*scorer(iter([frame]))], ignore_index=True)[["cache_key", "raw"]].assign(failed=False)
+            except Exception:  # noqa: BLE001  whatever a user's scorer raises
+                yield pd.DataFrame({"cache_key": frame["cache_key"], "raw": None, "failed": True})
+    return run
+
+
 def call_scorer(misses: DataFrame, scorer: Scorer, run: str, order: list[Column], cap: int = MAX_CALLS_PER_RUN) -> DataFrame:
-    """Score up to ``cap`` rows per run with ``scorer``; invalid answers are asked once more.
+    """(run, cache_key, fresh_score, ai_status) of rows without a cached score.
 
-    ``scorer`` gets frames with cache_key, title and text, and returns cache_key and raw
-    (model text).  Rows beyond the cap are left to the rule score.
+    Up to ``cap`` rows per run go to ``scorer``, each once; an invalid answer is asked once more.  The
+    scorer gets frames with cache_key, title and text, and returns cache_key and raw (model text).
+    ``ai_status`` is success, invalid (twice), failure (the scorer raised) or over_cap (not asked).
     """
-    asked = misses.withColumn("call_no", F.row_number().over(W.partitionBy(run).orderBy(*order))).where(
-        F.col("call_no") <= cap
-    )
+    numbered = misses.withColumn("call_no", F.row_number().over(W.partitionBy(run).orderBy(*order)))
+    asked, over = numbered.where(F.col("call_no") <= cap), numbered.where(F.col("call_no") > cap)
     body = F.when(F.coalesce(F.col("full_text"), F.lit("")) != "", F.col("full_text")).otherwise(F.col("excerpt"))
-    request = asked.select("cache_key", "title", F.substring(body, 1, MAX_TEXT).alias("text"))
+    request = asked.select("cache_key", "title", F.substring(body, 1, MAX_TEXT).alias("text")).dropDuplicates(["cache_key"])
 
     def answers(rows: DataFrame) -> DataFrame:
-        return rows.mapInPandas(scorer, "cache_key string, raw string").withColumn(
+        # written down, so that what reads the answers twice does not ask twice
+        return cut(rows.mapInPandas(_guarded(scorer), "cache_key string, raw string, failed boolean").withColumn(
             "parsed", parse_model_output(F.col("raw"))
-        )
+        ))
+
+    first = answers(request)
+    valid = F.coalesce(F.col("parsed.valid"), F.lit(False))
+    again = first.where(~valid & ~F.col("failed")).select("cache_key")
+    retry = answers(request.join(again, "cache_key", "left_semi"))
+    last = first.join(again, "cache_key", "left_anti").unionByName(retry)
+    status = F.when(valid, "success").when(F.col("failed"), "failure").otherwise("invalid")
+    got = last.select("cache_key", F.when(valid, F.col("parsed")).alias("fresh_score"), status.alias("ai_status"))
+    answered = asked.select(run, "cache_key").join(got, "cache_key", "left")
+    skipped = over.select(
+        run, "cache_key", F.lit(None).cast(got.schema["fresh_score"].dataType).alias("fresh_score"), F.lit("over_cap").alias("ai_status")
+    )
+    return answered.select(run, "cache_key", "fresh_score", F.coalesce("ai_status", F.lit("failure")).alias("ai_status")).unionByName(skipped)
+
 
-    first = cut(answers(request))                 # asked once: both branches below read the answers
-    good = first.where("parsed.valid")
-    retry = cut(answers(request.join(first.where("NOT parsed.valid").select("cache_key"), "cache_key", "left_semi")))
-    return good.unionByName(retry).select("cache_key", F.col("parsed").alias("fresh_score"))
+def scorer_report(scored: DataFrame, run: str = "run_id") -> DataFrame:
+    """Per run: cache hits, requests by result, rows over the cap, and whether the run is degraded."""
+    once = scored.select(run, "cache_key", "cache_hit", "ai_status").distinct()
+    return once.groupBy(run).agg(
+        F.count_if("cache_hit").alias("ai_cached"),
+        F.count_if(F.col("ai_status").isin("success", "invalid", "failure")).alias("ai_requests"),
+        F.count_if(F.col("ai_status") == "success").alias("ai_success"),
+        F.count_if(F.col("ai_status").isin("invalid", "failure")).alias("ai_failure"),
+        F.count_if(F.col("ai_status") == "over_cap").alias("ai_over_cap"),
+    ).withColumn("degraded", (F.col("ai_failure") + F.col("ai_over_cap")) > 0)
 
 
 def put_cache(scores: DataFrame, as_of: Column, days: int = CACHE_DAYS) -> DataFrame:
@@ -176,15 +208,17 @@ def score_with_cache(
     """Final score per candidate: cached, else fresh from the scorer, else the keyword rule.
 
     Candidates need cache_key, lexical_score, literal_match and the text columns.  A candidate
-    without a literal match and without a model score gets no score.
+    without a literal match and without a model score gets no score.  ``ai_status`` says what the
+    scorer did for the row (see :func:`call_scorer`), NULL where it was not needed.
     """
     looked = cached_scores(candidates, cache, as_of)
     if scorer is None:
-        scored = looked.withColumn("fresh_score", F.lit(None).cast(looked.schema["cached"].dataType))
+        scored = looked.withColumn("fresh_score", F.lit(None).cast(looked.schema["cached"].dataType)).withColumn(
+            "ai_status", F.lit(None).cast("string"))
     else:
         misses = looked.where("NOT cache_hit").dropDuplicates([run, "cache_key"])
-        fresh = call_scorer(misses, scorer, run, order or [F.col("cache_key")], cap).dropDuplicates(["cache_key"])
-        scored = looked.join(fresh, "cache_key", "left")
+        fresh = call_scorer(misses, scorer, run, order or [F.col("cache_key")], cap)
+        scored = looked.join(fresh, [run, "cache_key"], "left")
     model = F.coalesce("cached", F.when(F.col("fresh_score.valid"), F.col("fresh_score")))
     has_model = model.isNotNull()
     return (

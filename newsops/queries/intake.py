@@ -92,10 +92,10 @@ def feed_health(spark, sf_dir):
 SELECT o_orderstatus AS status, count(*) AS rows, 0 AS problems FROM orders GROUP BY 1""")
 def part_export(spark, sf_dir):
     """Bounded part files, read back under their manifest."""
-    from ..session import _shared_folder
+    from ..session import shared_folder
     import uuid
 
-    path = f"{_shared_folder(spark).rstrip('/')}/parts-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/parts-{uuid.uuid4().hex}"
     rows = V.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     manifest = files.write_parts(rows, path, 1000)
     problems = files.reconcile_parts(manifest, files.actual_parts(spark, path)).count()
@@ -154,6 +154,68 @@ def score_cache_lookup(spark, sf_dir):
     return done.select("topic_id", "article_id", "score", F.col("analysis_mode").alias("mode"))
 
 
+def _sample_scorer(frames):
+    """A deterministic model: fails on some titles, answers with nonsense on others."""
+    import json
+
+    import pandas as pd
+
+    for frame in frames:
+        raw = []
+        for title in frame["title"]:
+            n = len(title)
+            raw.append("no json" if n % 7 == 0 else json.dumps({
+                "score": n % 101, "summary": "s", "analysis": "a", "relevant": n % 3 > 0, "reason": "direct_match"}))
+        yield pd.DataFrame({"cache_key": frame["cache_key"], "raw": raw})
+
+
+def _scored(spark, sf_dir):
+    docs = V.table(spark, sf_dir, "documents")
+    key = lambda c: F.sha2(F.col(c).cast("string"), 256)
+    cache = docs.where("doc_id % 2 = 0").select(
+        key("doc_id").alias("cache_key"), _model_text(docs).alias("analysis"), V.as_of().alias("created_at"),
+        (V.as_of() + F.expr("INTERVAL 1 DAY")).alias("expires_at"),
+    )
+    pool = matches(spark, sf_dir).where("matched").withColumn("cache_key", key("article_id")).withColumn(
+        "literal_match", F.lit(True)).withColumn("run_id", F.concat(F.lit("run-"), "lang"))
+    return score.score_with_cache(pool, cache, V.as_of(), _sample_scorer, order=[F.col("article_id")], cap=40)
+
+
+_SCORED = """
+live AS (SELECT doc_id, n_chars % 110 AS s FROM documents WHERE doc_id % 2 = 0 AND n_chars % 5 <> 0 AND n_chars % 110 <= 100
+  AND NOT (n_chars % 4 <> 0 AND n_chars % 13 = 0)),
+pool AS (SELECT v.topic_id, v.article_id, v.score, a.lang, length(a.title) AS n, l.s FROM verdict v JOIN articles a USING (article_id)
+  LEFT JOIN live l ON l.doc_id = v.article_id WHERE n_in > 0 AND n_ex = 0),
+calls AS (SELECT article_id, lang, row_number() OVER (PARTITION BY lang ORDER BY article_id) AS call_no
+  FROM (SELECT DISTINCT article_id, lang FROM pool WHERE s IS NULL)),
+done AS (SELECT p.*, CASE WHEN p.s IS NOT NULL THEN NULL WHEN call_no > 40 THEN 'over_cap' WHEN n % 7 = 0 THEN 'invalid' ELSE 'success' END AS ai_status
+  FROM pool p LEFT JOIN calls c USING (article_id))"""
+
+
+@query("score_with_scorer", V.sql(V.ARTICLES, V.TOPICS, V.SOURCES, V.MATCHES, _SCORED, select="""
+SELECT topic_id, article_id, CASE WHEN s IS NOT NULL THEN s WHEN ai_status = 'success' THEN n % 101 ELSE score END AS score,
+  CASE WHEN s IS NOT NULL THEN 'ai_cache' WHEN ai_status = 'success' THEN 'ai' ELSE 'rules_fallback' END AS mode, ai_status,
+  CASE WHEN ai_status = 'success' THEN CAST(n % 3 > 0 AS VARCHAR) WHEN s IS NULL THEN 'true' END AS relevant FROM done"""))
+def score_with_scorer(spark, sf_dir):
+    """Cached, fresh and fallback scores side by side; at most 40 calls per run."""
+    done = _scored(spark, sf_dir)
+    return done.select(
+        "topic_id", "article_id", "score", F.col("analysis_mode").alias("mode"), "ai_status",
+        F.when(~F.col("cache_hit"), F.col("relevant").cast("string")).alias("relevant"),
+    )
+
+
+@query("scorer_accounting", V.sql(V.ARTICLES, V.TOPICS, V.SOURCES, V.MATCHES, _SCORED, select="""
+SELECT 'run-' || lang AS run_id, count(DISTINCT article_id) FILTER (s IS NOT NULL) AS ai_cached,
+  count(DISTINCT article_id) FILTER (ai_status IN ('success', 'invalid')) AS ai_requests,
+  count(DISTINCT article_id) FILTER (ai_status = 'success') AS ai_success,
+  count(DISTINCT article_id) FILTER (ai_status = 'invalid') AS ai_failure,
+  count(DISTINCT article_id) FILTER (ai_status = 'over_cap') AS ai_over_cap,
+  count(*) FILTER (ai_status IN ('invalid', 'over_cap')) > 0 AS degraded FROM done GROUP BY lang"""))
+def scorer_accounting(spark, sf_dir):
+    return score.scorer_report(_scored(spark, sf_dir))
+
+
 # -- suggestions --------------------------------------------------------------------
 @query("suggest_keywords", r"""
 WITH w AS (SELECT conv_id, turn, role = 'user' AS pos, list_filter(regexp_split_to_array(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]+'),
@@ -202,9 +264,9 @@ def stream_exact_dedup(spark, sf_dir):
     # the file sink keeps results on shared storage, whatever their size
     import uuid
 
-    from ..session import _shared_folder
+    from ..session import shared_folder
 
-    base = f"{_shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     kept.select("article_id").writeStream.format("parquet").option("path", f"{base}/out").option(
         "checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("article_id bigint").parquet(f"{base}/out").agg(F.count(F.lit(1)).alias("kept"))
@@ -218,13 +280,13 @@ def stream_freshness_side_output(spark, sf_dir):
     """Fresh rows to one folder, rejected rows with their reason to another, per micro-batch."""
     import uuid
 
-    from ..session import _shared_folder
+    from ..session import shared_folder
 
     df = _events(spark, sf_dir).select(
         F.col("event_id").alias("article_id"), F.col("event_type").alias("source_id"), F.lit("").alias("full_text"),
         F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"),
     )
-    base = f"{_shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     jobs.run_batches(
         jobs.judged_stream(df, V.as_of()), f"{base}/runs", f"{base}/state", f"{base}/rejected"
     ).awaitTermination()

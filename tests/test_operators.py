@@ -262,3 +262,57 @@ def test_search_after_pages_like_offset(spark):
     last = page1[-1]
     page2 = history.search_after(arts, tdim, sdim, (last.created_at, last.score, last.id), limit=7).collect()
     assert [r.id for r in page2] == [r.id for r in history.search(arts, tdim, sdim, limit=7, offset=7).collect()]
+
+
+def test_scorer_is_asked_once_and_its_failure_is_the_rule(spark, tmp_path):
+    import json
+
+    import pandas as pd
+
+    from newsops.operators import score
+
+    log = str(tmp_path)
+
+    def scorer(frames):
+        for frame in frames:
+            for key in frame["cache_key"]:
+                with open(f"{log}/{key}", "a") as out:
+                    out.write("x")
+            if frame["title"].str.contains("boom").any():
+                raise OSError("no answer")
+            yield pd.DataFrame({"cache_key": frame["cache_key"], "raw": [
+                "?" if "bad" in t else json.dumps({"score": 7, "summary": "s", "analysis": "a", "relevant": False, "reason": "off_topic"})
+                for t in frame["title"]]})
+
+    rows = [("r", f"k{i}", "boom" if i == 3 else "bad" if i == 4 else f"t{i}", "", "", 50, True) for i in range(8)]
+    df = spark.createDataFrame(rows, "run_id string, cache_key string, title string, excerpt string, full_text string, "
+                                     "lexical_score int, literal_match boolean").repartition(8, "cache_key")
+    cache = spark.createDataFrame([], "cache_key string, analysis string, created_at timestamp, expires_at timestamp")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        done = score.score_with_cache(df, cache, F.current_timestamp(), scorer, order=[F.col("cache_key")], cap=6)
+        got = {r.cache_key: (r.score, r.analysis_mode, r.ai_status) for r in done.collect()}
+        report = score.scorer_report(done).first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got["k0"] == (7, "ai", "success") and got["k3"] == (50, "rules_fallback", "failure")
+    assert got["k4"] == (50, "rules_fallback", "invalid") and got["k7"] == (50, "rules_fallback", "over_cap")
+    calls = {f"k{i}": len((tmp_path / f"k{i}").read_text()) if (tmp_path / f"k{i}").exists() else 0 for i in range(8)}
+    assert calls == {"k0": 1, "k1": 1, "k2": 1, "k3": 1, "k4": 2, "k5": 1, "k6": 0, "k7": 0}
+    assert (report.ai_requests, report.ai_success, report.ai_failure, report.ai_over_cap, report.degraded) == (6, 4, 2, 2, True)
+
+
+def test_a_row_limit_above_the_bound_is_an_error(spark):
+    df = spark.range(150).selectExpr("'g' AS g", "id", "150 AS n")
+    with pytest.raises(Exception, match="at most 100"):
+        rank.top_per_group(df, ["g"], [F.col("id")], F.col("n")).collect()
+
+
+def test_presets_meet_one_source_each(spark):
+    from newsops.operators import catalog
+
+    cols = "source_id string, name string, url string, language string, preset_id string, user_modified boolean"
+    sources = spark.createDataFrame([("s1", "S", "u2", "en", "p1", False)], cols)
+    presets = spark.createDataFrame([("p1", "P1", "u1", "en"), ("p2", "P2", "u2", "en")], "id string, name string, url string, language string")
+    got = {(r.source_id, r.action) for r in catalog.sync_presets(sources, presets, 2).collect()}
+    assert got == {("s1", "updated"), ("p2", "inserted")}

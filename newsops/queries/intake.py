@@ -72,6 +72,49 @@ def feed_articles(spark, sf_dir):
     return rows.select("source_id", "url", "title", "excerpt", F.col("published_at").isNull().alias("undated"))
 
 
+_LONG_FEEDS = """
+placed AS (SELECT article_id, title, url, article_id // 150 AS feed, row_number() OVER (PARTITION BY article_id // 150 ORDER BY article_id) AS place FROM articles)"""
+
+
+def _long_feeds(spark, sf_dir):
+    """Feeds of up to 150 entries, with extension elements that must not stand in for plain ones."""
+    df = V.articles(spark, sf_dir)
+    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    xml = F.concat(
+        F.lit("<item><title>"), esc(F.col("title")), F.lit("</title><media:title>Photo credit</media:title><link>"), esc(F.col("url")),
+        F.lit("</link><media:link>https://x.example/</media:link><description>d</description><itunes:summary>other</itunes:summary>"
+              "<content:encoded>&lt;p&gt;"), esc(F.col("excerpt")), F.lit("&lt;/p&gt;</content:encoded></item>"))
+    items = F.array_sort(F.collect_list(F.struct("article_id", xml.alias("xml"))))
+    feed = F.floor(F.col("article_id") / 150)
+    head = ('<rss xmlns:media="http://search.yahoo.com/mrss/" xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd" '
+            'xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel>')
+    return df.groupBy(feed.alias("feed")).agg(F.array_join(F.transform(items, lambda i: i["xml"]), "").alias("body")).select(
+        F.concat(F.lit("https://feeds.example.com/"), F.col("feed").cast("string")).alias("feed_url"),
+        F.col("feed").cast("string").alias("source_id"), F.lit("long").alias("source_name"),
+        F.concat(F.lit(head), "body", F.lit("</channel></rss>")).alias("document"),
+    )
+
+
+@query("feed_entry_bound", V.sql(V.ARTICLES, _LONG_FEEDS, select=r"""
+SELECT CAST(feed AS VARCHAR) AS source_id, url, trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, 'd' AS excerpt
+FROM placed WHERE place <= 100 AND trim(title) <> ''"""))
+def feed_entry_bound(spark, sf_dir):
+    """Only the first 100 entries of a feed count; prefixed elements are left alone."""
+    return feeds.feed_articles(_long_feeds(spark, sf_dir)).select("source_id", "url", "title", "excerpt")
+
+
+@query("feed_check", V.sql(V.ARTICLES, _LONG_FEEDS, select="""
+SELECT 'https://feeds.example.com/' || feed AS feed_url, true AS ok, count(*) AS entry_count FROM placed
+WHERE place <= 100 AND trim(title) <> '' GROUP BY feed
+UNION ALL SELECT 'https://feeds.example.com/broken', false, 0"""))
+def feed_check(spark, sf_dir):
+    """Entry counts per feed; the broken feed gets a row as well."""
+    docs = _long_feeds(spark, sf_dir)
+    broken = spark.sql("SELECT 'https://feeds.example.com/broken' AS feed_url, 'b' AS source_id, 'b' AS source_name, '<html/>' AS document")
+    every = docs.unionByName(broken)
+    return feeds.feed_check(every, feeds.feed_articles(every)).select("feed_url", "ok", "entry_count")
+
+
 @query("feed_health", V.sql(V.ARTICLES, """
 f AS (SELECT source_id, lang, strftime(created_at, '%Y%m%d') AS day, article_id // 64 AS shard, count(*) AS entries,
     count(published) AS dated, max(published) AS latest FROM articles GROUP BY ALL)""", select=f"""

@@ -13,7 +13,7 @@ SAMPLE, MAX_AGE_DAYS, MAX_AHEAD_DAYS = 20, 60, 2
 
 _RSS_ITEM = (
     "struct<title:string,link:string,description:string,summary:string,pubDate:string,updated:string,"
-    "encoded:array<string>>"
+    "`content:encoded`:array<string>>"
 )
 _ATOM_ENTRY = (
     "struct<title:string,link:array<struct<_href:string,_rel:string>>,summary:string,published:string,"
@@ -34,26 +34,32 @@ def feed_format(document) -> Column:
 
 
 def _plain_names(document):
-    """Prefixes of extension elements do not matter for the fields read here."""
-    return F.regexp_replace(document, r"<(/?)(?:\w+):(\w+)", "<$1$2")
+    """The document without its root's own prefix; elements of extensions keep theirs and stay apart."""
+    prefix = F.regexp_extract(document, r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<(\w+):\w+", 1)
+    own = F.concat(F.lit("<(/?)"), prefix, F.lit(":"))
+    return F.when(prefix == "", document).otherwise(F.regexp_replace(document, own, F.lit("<$1")))
 
 
 def feed_entries(feeds: DataFrame) -> DataFrame:
-    """(feed_url, pos, title, link, summary, published, bodies) for every entry of every feed."""
+    """(feed_url, pos, title, link, summary, published, bodies) for every entry of every feed.
+
+    source_id and source_name come along where ``feeds`` has them.
+    """
+    base = ["feed_url", *[c for c in ("source_id", "source_name") if c in feeds.columns]]
     doc = feeds.withColumn("_format", feed_format(F.col("document"))).withColumn("_doc", _plain_names(F.col("document")))
     rss = doc.where("_format = 'rss'").withColumn(
         "_x", F.from_xml("_doc", f"struct<channel:struct<item:array<{_RSS_ITEM}>>,item:array<{_RSS_ITEM}>>", {"rowTag": "rss"})
-    ).select("feed_url", F.posexplode(F.coalesce("_x.channel.item", "_x.item")).alias("pos", "e")).select(
-        "feed_url", "pos", F.col("e.title").alias("title"), F.col("e.link").alias("link"),
+    ).select(*base, F.posexplode(F.coalesce("_x.channel.item", "_x.item")).alias("pos", "e")).select(
+        *base, "pos", F.col("e.title").alias("title"), F.col("e.link").alias("link"),
         F.coalesce("e.summary", "e.description").alias("summary"), F.coalesce("e.pubDate", "e.updated").alias("published"),
-        F.col("e.encoded").alias("bodies"),
+        F.col("e").getField("content:encoded").alias("bodies"),
     )
     atom = doc.where("_format = 'atom'").withColumn(
         "_x", F.from_xml("_doc", f"struct<entry:array<{_ATOM_ENTRY}>>", {"rowTag": "feed"})
-    ).select("feed_url", F.posexplode("_x.entry").alias("pos", "e"))
+    ).select(*base, F.posexplode("_x.entry").alias("pos", "e"))
     alternate = F.filter("e.link", lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
     atom = atom.select(
-        "feed_url", "pos", F.col("e.title").alias("title"), F.try_element_at(alternate, F.lit(1))["_href"].alias("link"),
+        *base, "pos", F.col("e.title").alias("title"), F.try_element_at(alternate, F.lit(1))["_href"].alias("link"),
         F.col("e.summary").alias("summary"), F.coalesce("e.published", "e.updated").alias("published"),
         F.col("e.content").alias("bodies"),
     )
@@ -73,12 +79,12 @@ def feed_articles(feeds: DataFrame) -> DataFrame:
     """
     first = feed_entries(feeds).where(F.col("pos") < MAX_ENTRIES)
     rows = first.select(
-        "feed_url", "pos", text.plain_text("title", MAX_TITLE).alias("title"),
+        "feed_url", "source_id", "source_name", "pos", text.plain_text("title", MAX_TITLE).alias("title"),
         urls.resolve_link("feed_url", F.coalesce("link", F.lit(""))).alias("url"), F.trim(F.coalesce("link", F.lit(""))).alias("_raw"),
         text.plain_text("summary", MAX_EXCERPT).alias("excerpt"), F.nullif(F.trim("published"), F.lit("")).alias("published_at"),
         longest_body(F.col("bodies")).alias("full_text"),
     ).where((F.col("title") != "") & (F.col("_raw") != "")).where(urls.is_public_url(urls.folded_url("url")))
-    return rows.drop("_raw").join(feeds.select("feed_url", "source_id", "source_name"), "feed_url")
+    return rows.drop("_raw")
 
 
 def feed_errors(feeds: DataFrame, articles: DataFrame) -> DataFrame:
@@ -88,10 +94,11 @@ def feed_errors(feeds: DataFrame, articles: DataFrame) -> DataFrame:
     )
 
 
-def feed_check(articles: DataFrame) -> DataFrame:
-    """ok, entry count and first title per feed."""
-    return articles.groupBy("feed_url").agg(
-        F.lit(True).alias("ok"), F.count(F.lit(1)).alias("entry_count"), F.min_by("title", "pos").alias("sample_title")
+def feed_check(feeds: DataFrame, articles: DataFrame) -> DataFrame:
+    """ok, entry count and first title per feed; a feed without articles is not ok."""
+    seen = articles.groupBy("feed_url").agg(F.count(F.lit(1)).alias("entry_count"), F.min_by("title", "pos").alias("sample_title"))
+    return feeds.select("feed_url").distinct().join(seen, "feed_url", "left").select(
+        "feed_url", F.col("entry_count").isNotNull().alias("ok"), F.coalesce("entry_count", F.lit(0)).alias("entry_count"), "sample_title"
     )
 
 

@@ -19,9 +19,15 @@ def write_artifact(articles: DataFrame, path: str, run_id: str) -> str:
 
 
 def write_parts(df: DataFrame, path: str, rows_per_part: int) -> DataFrame:
-    """JSON part files of at most ``rows_per_part`` rows; returns the manifest (part, rows)."""
+    """JSON part files of at most ``rows_per_part`` rows; returns the manifest (part, rows).
+
+    The manifest is counted once, right after writing, and stored beside the parts, so that a later
+    check compares the files with what was written and not with themselves.
+    """
     df.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_part).json(path)
-    return actual_parts(df.sparkSession, path)
+    index = f"{path.rstrip('/')}_index"
+    actual_parts(df.sparkSession, path).write.mode("errorifexists").parquet(index)
+    return df.sparkSession.read.parquet(index)
 
 
 def actual_parts(spark, path: str) -> DataFrame:

@@ -316,3 +316,15 @@ def test_presets_meet_one_source_each(spark):
     presets = spark.createDataFrame([("p1", "P1", "u1", "en"), ("p2", "P2", "u2", "en")], "id string, name string, url string, language string")
     got = {(r.source_id, r.action) for r in catalog.sync_presets(sources, presets, 2).collect()}
     assert got == {("s1", "updated"), ("p2", "inserted")}
+
+
+def test_extension_elements_stay_apart(spark):
+    rss = ("<rss xmlns:media='m' xmlns:content='c'><channel><item><title>Real title</title><media:title>Photo credit</media:title>"
+           "<link>https://f.example/1</link><description>d</description><content:encoded><![CDATA[<p>a <x:y>b</x:y></p>]]></content:encoded></item></channel></rss>")
+    atom = ("<a:feed xmlns:a='http://www.w3.org/2005/Atom'><a:entry><a:title>E</a:title><a:link href='https://x.example/e'/>"
+            "<a:updated>2031-05-09T00:00:00Z</a:updated></a:entry></a:feed>")
+    df = spark.createDataFrame([("https://f.example/r", "r", "r", rss), ("https://f.example/a", "a", "a", atom)],
+                               "feed_url string, source_id string, source_name string, document string")
+    got = {r.source_id: (r.title, r.full_text) for r in feeds.feed_articles(df.unionByName(df)).collect()}
+    assert got == {"r": ("Real title", "a b"), "a": ("E", "")}
+    assert feeds.feed_articles(df.unionByName(df)).count() == 4

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, fingerprint, langid, licenses, linededup, mixing, neardup, quality, quotes, wrappers
 from .common import table
@@ -13,9 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _named(name: str):
+def _named(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
         return fn
 
     return register
@@ -34,7 +37,24 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-@_named("op6_quality_rules")
+@_named("op6_quality_rules", r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (
+  SELECT doc_id, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d))),
+repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM grams, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
+lines AS (SELECT doc_id, host, t, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw
+  FROM (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM d)),
+said AS (SELECT *, array_to_string(lw, ' ') AS norm FROM lines WHERE len(lw) > 0),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM said GROUP BY doc_id),
+often AS (SELECT s.host, norm FROM said s JOIN (SELECT host, count(DISTINCT t) AS n FROM d GROUP BY host) h ON h.host = s.host
+  GROUP BY s.host, norm, h.n HAVING count(DISTINCT t) >= 20 AND count(DISTINCT t) > 0.01 * h.n),
+lost AS (SELECT doc_id, sum(len(lw)) AS lost_words FROM said SEMI JOIN often USING (host, norm) GROUP BY doc_id),
+f AS (SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(lost_words, 0) AS BIGINT) AS lost_words
+  FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN lost USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND n_words - lost_words >= 0.3 * n_words AS kept FROM b""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.verdicts(quality.figures(table(spark, sf_dir, "documents")))
     return rows.select(
@@ -53,15 +73,42 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-@_named("op4_near_duplicates")
+@_named("op4_near_duplicates", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) AS i FROM w WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common c JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c.n >= 85 * (a.n + b.n - c.n)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT DISTINCT x, x AS y FROM ways UNION SELECT r.x, s.y FROM reach r JOIN ways s ON s.x = r.y),
+least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-@_named("op7_line_dedup")
+@_named("op7_line_dedup", r"""
+WITH lines AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents)),
+long AS (SELECT * FROM lines WHERE len(ws) >= 8),
+own AS (SELECT ws, min(ROW(doc_id, line_no)) AS spot FROM long GROUP BY ws),
+without AS (SELECT ws, spot, i, list_concat(list_slice(ws, 1, i - 1), list_slice(ws, i + 1, len(ws))) AS v FROM (SELECT ws, spot, unnest(range(1, len(ws) + 1)) AS i FROM own)),
+near AS (
+  SELECT ws FROM (SELECT ws, spot, min(spot) OVER (PARTITION BY v, i) AS least FROM without) WHERE least < spot
+  UNION SELECT o.ws FROM own o JOIN without s ON o.ws = s.v WHERE s.spot < o.spot
+  UNION SELECT s.ws FROM own o JOIN without s ON o.ws = s.v WHERE o.spot < s.spot),
+gone AS (SELECT l.doc_id, l.line_no, n.ws IS NOT NULL AS near FROM long l JOIN own o USING (ws) LEFT JOIN near n USING (ws)
+  WHERE n.ws IS NOT NULL OR ROW(l.doc_id, l.line_no) <> o.spot),
+told AS (SELECT doc_id, count(*) AS n_dropped, count(*) FILTER (near) AS n_near, string_agg(line_no, ',' ORDER BY line_no) AS dropped_lines FROM gone GROUP BY doc_id)
+SELECT doc_id, coalesce(n_dropped, 0) AS n_dropped, coalesce(n_near, 0) AS n_near, coalesce(dropped_lines, '') AS dropped_lines
+FROM documents LEFT JOIN told USING (doc_id)""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_report(table(spark, sf_dir, "documents"))
+    report = linededup.line_report(table(spark, sf_dir, "documents"))
+    return report.withColumn("dropped_lines", F.array_join(F.col("dropped_lines").cast("array<string>"), ","))
 
 
 @_named("op3_quotation_links")
@@ -69,7 +116,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotations(table(spark, sf_dir, "conversations"))
 
 
-@_named("op5_main_text")
+@_named("op5_main_text", r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS body FROM pages),
+t AS (SELECT page_id, url, replace(replace(array_to_string(list_filter(list_transform(
+    regexp_split_to_array(body, '</?(?:p|h1|br)>'), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))),
+    lambda x: x <> ''), chr(10)), '&quot;', '"'), '&amp;', '&') AS text FROM a)
+SELECT page_id, url, text, length(text) AS n_chars FROM t""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages"))
 

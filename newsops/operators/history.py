@@ -115,15 +115,16 @@ def unified_search(topics, sources, articles, query: str) -> DataFrame:
             key.cast("string").alias("key"),
         )
 
-    unique = articles.withColumn("_key", F.coalesce(F.col("id").cast("string"), F.col("url"))).dropDuplicates(["_key"])
+    text = query.strip()
+    wanted = F.contains(F.lower(F.concat_ws(" ", "title", "subtitle", "kind")), F.lower(F.lit(text))) if text else F.lit(True)
+    key = F.coalesce(F.col("id").cast("string"), F.col("url"))
+    # narrow and filtered first, so that repeats are folded over few short rows
+    found = rows(articles, 3, "article", F.col("title"), F.coalesce("source_name", "excerpt"), key).where(wanted).dropDuplicates(["key"])
     every = (
         rows(topics, 1, "topic", F.col("name"), F.array_join("keywords", " · "), F.col("topic_id"))
-        .unionByName(rows(sources, 2, "source", F.col("name"), F.col("url"), F.col("source_id")))
-        .unionByName(rows(unique, 3, "article", F.col("title"), F.coalesce("source_name", "excerpt"), F.col("_key")))
+        .unionByName(rows(sources, 2, "source", F.col("name"), F.col("url"), F.col("source_id"))).where(wanted)
+        .unionByName(found)
     )
-    text = query.strip()
-    if text:
-        every = every.where(F.contains(F.lower(F.concat_ws(" ", "title", "subtitle", "kind")), F.lower(F.lit(text))))
     return every.orderBy("group_no", "key").limit(30 if text else 8)
 
 

@@ -93,8 +93,13 @@ def dangling(df: DataFrame, entity: str, column: str, target: DataFrame, target_
     )
 
 
-def validate_bundle(sources: DataFrame, topics: DataFrame, runs: DataFrame, articles: DataFrame) -> DataFrame:
-    """Every violation of an incoming bundle; an empty result means it may be merged."""
+def validate_bundle(
+    sources: DataFrame, topics: DataFrame, runs: DataFrame, articles: DataFrame, version: int = 1
+) -> DataFrame:
+    """Every violation of an incoming bundle; an empty result means it may be merged.
+
+    From version 2 on every article must name its run; runs that list topics must list known ones.
+    """
     refs = topics.select("topic_id", F.explode("source_ids").alias("source_id"))
     parts = [rule_violations(df, e) for e, df in
              (("source", sources), ("topic", topics), ("run", runs), ("article", articles))]
@@ -106,6 +111,11 @@ def validate_bundle(sources: DataFrame, topics: DataFrame, runs: DataFrame, arti
         dangling(articles, "article", "source_id", sources, "source_id"),
         dangling(articles, "article", "run_id", runs, "run_id"),
     ]
+    if "topic_ids" in runs.columns:
+        parts.append(dangling(runs.select("run_id", F.explode("topic_ids").alias("topic_id")), "run", "topic_id", topics, "topic_id"))
+    if version >= 2:
+        unnamed = articles.where(F.trim(F.coalesce("run_id", F.lit(""))) == "")
+        parts.append(unnamed.select(F.lit("article").alias("entity"), F.col("id").cast("string").alias("id"), F.lit("run_id is empty").alias("rule")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

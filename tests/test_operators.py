@@ -328,3 +328,17 @@ def test_extension_elements_stay_apart(spark):
     got = {r.source_id: (r.title, r.full_text) for r in feeds.feed_articles(df.unionByName(df)).collect()}
     assert got == {"r": ("Real title", "a b"), "a": ("E", "")}
     assert feeds.feed_articles(df.unionByName(df)).count() == 4
+
+
+def test_bundle_of_version_two_names_runs_and_topics(spark):
+    sources = spark.createDataFrame([("s", "S", "https://s.example", "true", "false", "false")],
+                                    "source_id string, name string, url string, enabled string, archived string, user_modified string")
+    topics_df = spark.createDataFrame([("t", "T", "50", "10", "true", "false", ["s"])],
+                                      "topic_id string, name string, threshold string, article_limit string, enabled string, archived string, source_ids array<string>")
+    runs = spark.createDataFrame([("r", "complete", "1", "", "", ["t", "gone"])],
+                                 "run_id string, status string, article_count string, warning string, error string, topic_ids array<string>")
+    cols = "id string, run_id string, topic_id string, source_id string, title string, url string, excerpt string, summary string, analysis string, score string, favorite string"
+    articles = spark.createDataFrame([("a", "r", "t", "s", "T", "https://x.example", "", "", "", "5", "0"), ("b", " ", "t", "s", "T", "https://x.example", "", "", "", "5", "0")], cols)
+    found = lambda v: {(r.entity, r.id, r.rule) for r in validate.validate_bundle(sources, topics_df, runs, articles.withColumn("run_id", F.trim("run_id")), v).collect()}
+    assert found(1) == {("run", "r", "unknown topic_id")}
+    assert found(2) == {("run", "r", "unknown topic_id"), ("article", "b", "run_id is empty")}

@@ -9,10 +9,12 @@ takes as many coordinates as keep the chance that two sets at the limit miss all
 
 Documents of equal sets are one node.  Within a bucket not every pair is compared:
 
-* stars: a bucket's members are compared with leaders drawn by a hash, several hashes over the
-  bands; two such rounds connect large groups of mutual near copies with few comparisons each;
-* rest: all remaining pairs of a bucket whose ends are still in different components, without those
-  that the distance to the bucket's leader rules out (1 - Jaccard is a metric).
+* stars: a bucket's members are compared with leaders, the set with most copies or else one drawn by
+  a hash, several hashes over the bands; two such rounds connect large groups of near copies with few
+  comparisons each;
+* rest: documents of buckets that then still hold several components.  A pair at the limit must share
+  one of the rarest shingles of either side (as many as a side can miss, and one), so those shingles are
+  the keys on which the rest meets, and only across components.
 
 Every link is confirmed on full shingle sets, so no link between components is lost and none is
 assumed.  Null texts and texts without a word have no set and stay alone; fewer words than a shingle
@@ -141,10 +143,10 @@ def near_duplicates(
     rows = scratch.keep("rows", sketches(docs, id_col, text, shingle, percent))
     nodes = scratch.keep("nodes", rows.where("digest is not null").groupBy("digest").agg(
         F.min(F.struct(F.col(id_col), "_key")).getField("_key").alias("_key"), F.min(id_col).alias("least_id"),
-        F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+        F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"),
     ).withColumn("node", F.monotonically_increasing_id()))
 
-    spread = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
+    spread = nodes.select("node", "n", "copies", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").count().where("count > 1").select("bucket")
     members = scratch.keep("members", spread.join(shared, "bucket", "left_semi"))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "_key")
@@ -152,28 +154,30 @@ def near_duplicates(
         wanted, "_key"
     ).dropDuplicates(["node"]).select("node", "text"))
 
-    known, labels, first_leaders = None, None, None
+    known, labels = None, None
     for number, draws in enumerate(STARS):
-        draw = F.struct(F.xxhash64(F.lit(number), F.col("band") % draws, "node").alias("o"), F.col("node"), F.col("n"))
-        leaders = members.groupBy("bucket").agg(F.min(draw).alias("leader")).select(
+        drawn = F.struct(
+            (-F.col("copies")).alias("c"), F.xxhash64(F.lit(number), F.col("band") % draws, "node").alias("o"), F.col("node"), F.col("n")
+        )
+        leaders = members.groupBy("bucket").agg(F.min(drawn).alias("leader")).select(
             "bucket", F.col("leader.node").alias("b"), F.col("leader.n").alias("m")
         )
         pairs = members.join(leaders, "bucket").where(F.col("node") != F.col("b")).where(_fits("n", "m", percent)).select(
             F.col("node").alias("a"), "b"
         ).distinct()
-        if number == 0:
-            first_leaders = scratch.keep("leaders", leaders.select("bucket", F.col("b").alias("leader")))
-        else:
+        if known is not None:
             pairs = _unjoined(pairs, labels).join(_both_ways(known), ["a", "b"], "left_anti")
         found = verified(pairs, texts, shingle, percent)
         known = scratch.keep("known", found if known is None else known.unionAll(found))
         labels = components(known.where("linked"), scratch)
 
-    rest = scratch.keep("rest", _rest(members, labels, known, first_leaders, percent))
+    mixed = scratch.keep("mixed", _mixed(members, labels))
+    sets = scratch.keep("sets", _sets(mixed.join(texts, "node"), shingle))
+    rest = scratch.keep("rest", _rest(_rare(sets, percent).join(mixed, "node"), known, percent))
     found = scratch.keep("found", verified(rest, texts, shingle, percent).where("linked").select("a", "b"))
     if found.take(1):
         labels = components(known.where("linked").select("a", "b").unionAll(found), scratch)
-    scratch.drop("members", "texts", "leaders", "rest", "found")
+    scratch.drop("members", "texts", "mixed", "sets", "rest", "found", "known")
 
     labelled = nodes.join(labels, "node", "left").select(
         "digest", "least_id", F.coalesce("component", "node").alias("_group")
@@ -200,34 +204,64 @@ def _unjoined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
-def _rest(members: DataFrame, labels: DataFrame, known: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket that are neither compared, nor in one component, nor ruled out by a leader."""
-    limit = 1 - percent / 100 + 1e-9
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, n, component): members of buckets that still hold several components."""
     placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    placed = placed.join(mixed.select("bucket"), "bucket", "left_semi").join(leaders, "bucket")
-    measured = known.select(F.col("a").alias("node"), F.col("b").alias("leader"), "apart").dropDuplicates(["node", "leader"])
-    placed = placed.join(measured, ["node", "leader"], "left").select(
-        "bucket", "component", "node", "n",
-        F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("apart")).alias("apart"),
-    )
-    # Components of a bucket first, members of the surviving pairs of components after.
-    groups = placed.groupBy("bucket", "component").agg(
-        F.min("n").alias("n0"), F.max("n").alias("n1"),
-        F.min(F.coalesce("apart", F.lit(0.0))).alias("d0"), F.max(F.coalesce("apart", F.lit(1.0))).alias("d1"),
+    several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return placed.join(several.select("bucket"), "bucket", "left_semi").select("node", "n", "component").distinct()
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, h): the shingle hashes of each node as an array."""
+
+    def split(batches):
+        sketcher = Sketcher(shingle)
+        for batch in batches:
+            sets = [sketcher.shingles(x.as_py()).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "h"])
+
+    return texts.select("node", "text").mapInArrow(split, "node bigint, h array<bigint>")
+
+
+def _rare(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, h, pos): the rarest shingles of each node, as many as it can miss and one, without those it
+    alone has; ``pos`` is the place in the node's order, rarest first."""
+    flat = sets.select("node", F.size("h").alias("of"), F.explode("h").alias("h"))
+    shared = flat.groupBy("h").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    ranked = flat.join(shared, "h").groupBy("node", "of").agg(
+        F.sort_array(F.collect_list(F.struct("held", "h"))).alias("ranked")          # bounded by the document
     )
-    x = groups.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("component", "n0", "n1", "d0", "d1")])
-    y = groups.select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("component", "n0", "n1", "d0", "d1")])
-    meeting = x.join(y, "bucket").where(
-        (F.col("x_component") < F.col("y_component"))
-        & (100 * F.col("x_n1") >= percent * F.col("y_n0")) & (100 * F.col("y_n1") >= percent * F.col("x_n0"))
-        & (F.col("x_d0") - F.col("y_d1") <= limit) & (F.col("y_d0") - F.col("x_d1") <= limit)
-    ).select("bucket", "x_component", "y_component")
-    left = placed.select("bucket", F.col("component").alias("x_component"), F.col("node").alias("a"), "n", F.col("apart").alias("p"))
-    right = placed.select("bucket", F.col("component").alias("y_component"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("apart").alias("q"))
-    pairs = meeting.join(left, ["bucket", "x_component"]).join(right, ["bucket", "y_component"]).where(
-        _fits("n", "m", percent) & (F.coalesce(F.abs(F.col("p") - F.col("q")), F.lit(0.0)) <= limit)
-    ).select("a", "b").distinct()
+    alone = F.col("of") - F.size("ranked")
+    take = (F.col("of") - F.ceil(percent * F.col("of") / 100) + 1 - alone).cast("int")
+    return ranked.where(take > 0).select(
+        "node", alone.alias("alone"), F.posexplode(F.slice("ranked", F.lit(1), take)).alias("i", "r")
+    ).select("node", "r.h", (F.col("alone") + F.col("i") + 1).alias("pos"))
+
+
+def _rest(rare: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that can reach the limit and have not been compared.
+
+    Sets of n and m shingles at the limit share at least o(n, m) of them, so they share one among the
+    first n - o + 1 of one side and the first m - o + 1 of the other.
+    """
+    def overlap(n, m):
+        return F.ceil(percent * (F.col(n) + F.col(m)) / (100 + percent))
+
+    def reaches(n, pos, m):
+        return F.col(pos) <= F.col(n) - overlap(n, m) + 1
+
+    # The smaller side's places are those that a partner of its own size leaves.  Groups of a shingle,
+    # component and size meet first, their members after.
+    small = rare.where(reaches("n", "pos", "n"))
+    group = ["h", "component", "n"]
+    x = small.groupBy(*group).agg(F.min("pos").alias("i")).select("h", F.col("component").alias("x"), "n", "i")
+    y = rare.groupBy(*group).agg(F.min("pos").alias("j")).select("h", F.col("component").alias("y"), F.col("n").alias("m"), "j")
+    fits = (F.col("n") <= F.col("m")) & _fits("n", "m", percent)
+    meeting = x.join(y, "h").where((F.col("x") != F.col("y")) & fits & reaches("n", "i", "m") & reaches("m", "j", "n"))
+    left = small.select("h", F.col("component").alias("x"), "n", F.col("node").alias("a"), F.col("pos").alias("p"))
+    right = rare.select("h", F.col("component").alias("y"), F.col("n").alias("m"), F.col("node").alias("b"), F.col("pos").alias("q"))
+    pairs = meeting.join(left, ["h", "x", "n"]).where(reaches("n", "p", "m")).join(right, ["h", "y", "m"]).where(reaches("m", "q", "n"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.join(_both_ways(known), ["a", "b"], "left_anti")
 
 

@@ -69,12 +69,21 @@ class Model:
 
 
 def training_rows(docs: DataFrame, id_col: str, text: str, lang: str, sample: int = SAMPLE) -> DataFrame:
-    """The ``sample`` labelled documents of each language with the least seeded hash."""
-    order = W.partitionBy("lang").orderBy(F.xxhash64(F.lit(SEED), id_col), F.xxhash64("text"))
-    rows = docs.select(id_col, F.col(text).alias("text"), F.col(lang).alias("lang")).where(
-        F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")
-    )
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).select("lang", "text")
+    """The ``sample`` labelled documents of each language with the least seeded hash.
+
+    Languages are counted first (one small row each), and only hashes below a limit that leaves about
+    four times the sample are ranked, so no task gathers more, however many documents there are.
+    """
+    rows = docs.select(
+        F.xxhash64(F.lit(SEED), id_col).alias("_order"), F.col(text).alias("text"), F.col(lang).alias("lang")
+    ).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    counts = rows.groupBy("lang").count().collect()
+    if not counts:
+        return rows.select("lang", "text")
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 4.0 * sample / r["count"])])
+    near = rows.where(F.pmod(F.col("_order"), F.lit(1 << 30)) / (1 << 30) < F.element_at(shares, F.col("lang")))
+    order = W.partitionBy("lang").orderBy("_order", F.xxhash64("text"))
+    return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).select("lang", "text")
 
 
 def fit(rows: DataFrame) -> Model:

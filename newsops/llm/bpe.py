@@ -93,14 +93,13 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: s
 
         encoder, split = Encoder(*shipped.value), regex.compile(pattern)
         for column in batches:
-            found, ends = [], [0]
+            packed, ends = bytearray(), [0]           # one buffer, so that a batch is held once
             for value in column:
-                matches, size = split.finditer(value.as_py() or ""), 0
+                matches = split.finditer(value.as_py() or "")
                 while some := [m.group() for m in islice(matches, MATCHES)]:
-                    found.append(b"".join(map(encoder.__getitem__, some)))
-                    size += len(found[-1]) // 4
-                ends.append(ends[-1] + size)
-            values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(found))])
+                    packed += b"".join(map(encoder.__getitem__, some))
+                ends.append(len(packed) // 4)
+            values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(packed)])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
     from collections.abc import Iterator

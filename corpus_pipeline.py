@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every line stays at its first place; a document without any word left goes."""
-    return linededup.drop_lines(docs)
+    """Every line, a short one too, stays at its first place; a document without any word left goes."""
+    return linededup.drop_lines(docs, every=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

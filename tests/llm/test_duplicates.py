@@ -151,6 +151,21 @@ def test_lines_go_when_an_earlier_line_is_within_one_word(spark, odd_docs, no_do
     assert linededup.line_report(no_docs).count() == 0 and linededup.drop_lines(no_docs).count() == 0
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    import corpus_pipeline
+
+    rows = [
+        (1, "Read more\n今天的天气非常好我们一起去公园散步吧\nfew words here\n短句"),
+        (2, "Read  more\n今天的天气非常好我们一起去公园跑步吧\nfew words there\n短语"),
+        (3, "วันนี้อากาศดีมากเราไปเดินเล่น\nRead more\n\nlast"), (4, "วันนี้อากาศดีมากเราไปเดินเล่น\n短句"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (set(r.dropped_lines), r.n_near) for r in linededup.line_report(docs, every=True).collect()}
+    assert got == {1: (set(), 0), 2: ({0, 1}, 1), 3: ({1}, 0), 4: ({0, 1}, 0)}
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert left == {1: rows[0][1], 2: "few words there\n短语", 3: "วันนี้อากาศดีมากเราไปเดินเล่น\n\nlast"}
+
+
 def test_within_one_word():
     near = [("a b c", "a b c"), ("a b c", "a x c"), ("a b c", "a c"), ("b c", "a b c"), ("a b", "a b c")]
     far = [("a b c", "a c b"), ("a b c", "c"), ("a b c", "x b y"), ("a b", "b c a")]

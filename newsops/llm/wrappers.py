@@ -8,8 +8,12 @@ union, so its size follows the host's template and not the number of pages, and
 like a wrapper and a page: tasks fold their own pages, then partial wrappers are folded per host.
 (The stream is kept as a nested list, so that alignment respects the tags' nesting.)
 
+Elements are keyed by their path and by those class or id words on it that recur on the host's pages
+(on a quarter of them, and on two at least; counted in Spark), so labels of single pages, like a post's
+number, do not keep pages from aligning.
+
 A host's wrapper tells which container holds the content: ``article`` or ``main`` if it has one, else
-the container with most slots in text blocks.  The page's text blocks in that container are its main
+the container with most slots in text blocks, or the one in its place under other labels.  The page's text blocks in that container are its main
 text, without the parts that are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles or reader comments by their element, role or class.  Nothing else is dropped.
 
@@ -61,6 +65,8 @@ WORDS = re.compile(r"[a-z]+")
 PARTIALS = 32                   # partial wrappers of a host before the last fold
 GROUP, LONGEST = 4, 64          # nodes of a repeated group; nodes of a sequence before any order is allowed
 CONSTANT = 80                   # longer texts are slots at once
+LABEL_PART = 4                  # a label recurs if one in so many of the host's pages has it
+BARE = re.compile(r"\.[^/]*")
 
 
 def _outside(name: str, attributes: dict[str, str]) -> bool:
@@ -72,10 +78,19 @@ def _outside(name: str, attributes: dict[str, str]) -> bool:
     return any(word in OUTSIDE_WORDS for word in WORDS.findall(labels))
 
 
-def tokens(page: str):
+def _labels(attributes: dict[str, str]) -> list[str]:
+    return (attributes.get("class") or attributes.get("id") or "").replace("/", "|").split()
+
+
+def _is_container(name: str) -> bool:
+    return name in BLOCK and name not in ("p", "li", "b")
+
+
+def tokens(page: str, keep: frozenset[str] | None = None):
     """(kind, value, container, seen) tokens: kind is open, close, text or break.
 
-    ``container`` is the path of open containers, ``seen`` whether text here is content by its
+    ``container`` is the path of open containers with their labels, of which only those in ``keep``
+    count where it is given, ``seen`` whether text here is content by its
     elements; unclosed and misnested elements are closed as a browser would.
     """
     stack: list[tuple[str, str, bool]] = []            # name, container path, seen
@@ -119,9 +134,8 @@ def tokens(page: str):
                     top = stack.pop()
                     yield "close", top[0], *state()
         path, seen = state()
-        if name in BLOCK and name not in ("p", "li", "b"):
-            label = attributes.get("class") or attributes.get("id") or ""
-            path = f"{path}/{name}" + (f".{SPACES.sub('.', label.strip())}" if label else "")
+        if _is_container(name):
+            path = ".".join([f"{path}/{name}", *(x for x in _labels(attributes) if keep is None or x in keep)])
         stack.append((name, path, seen and name not in UNSEEN and not _outside(name, attributes)))
         yield "open", name, *state()
         if name in RAW:
@@ -162,12 +176,16 @@ def fold(nodes: list) -> list:
             i += k * width
         width = 1 if len(out) < len(nodes) else width + 1
         nodes = out
-    if len(nodes) > LONGEST:                           # any order of the same nodes
-        kinds: dict[str, list] = {}
-        for n in nodes:
+    return _any(nodes) if len(nodes) > LONGEST else nodes
+
+
+def _any(nodes: list) -> list:
+    """One group of the nodes in any order; such a group never holds another."""
+    kinds: dict[str, list] = {}
+    for node in nodes:
+        for n in node[1] if node[0] == "(any)" else [node]:
             kinds[n[0]] = _both(kinds[n[0]], n) if n[0] in kinds else n
-        nodes = [["(any)", [[k, c, 0, many] for k, c, _, many in kinds.values()], 1, 1]]
-    return nodes
+    return [["(any)", [[k, c, 0, many] for k, c, _, many in (kinds[k] for k in sorted(kinds))], 1, 1]]
 
 
 def _both(a: list, b: list) -> list:
@@ -183,6 +201,8 @@ def merge(a: list, b: list) -> list:
     if a == b:
         return a
     ka, kb = [n[0] for n in a], [n[0] for n in b]
+    if "(any)" in ka or "(any)" in kb:
+        return _any(a + b)
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -201,10 +221,10 @@ def merge(a: list, b: list) -> list:
     return fold(out)
 
 
-def page_wrapper(page: str) -> list:
+def page_wrapper(page: str, keep: frozenset[str] | None = None) -> list:
     """A page's own token stream as a wrapper."""
     stack: list[list] = [[]]
-    for kind, value, path, seen in tokens(page):
+    for kind, value, path, seen in tokens(page, keep):
         if kind == "text":
             text = SPACES.sub(" ", entities.unescape(value)).strip()
             if text and seen:
@@ -239,7 +259,11 @@ def expression(nodes: list) -> str:
 
 
 def content_root(nodes: list) -> str:
-    """The container that holds the content: article or main, else the one with most text slots."""
+    """The paths of the containers that hold the content, one a line; a page's is the first that it has.
+
+    Every place of an article or main, the outermost first (a path without labels, after ``=``); else
+    the container with most text slots, then those in its place under other labels.
+    """
     slots: Counter = Counter()
     named: list[str] = []
 
@@ -258,20 +282,63 @@ def content_root(nodes: list) -> str:
 
     walk(nodes, "", 1)
     if named:
-        return min(named, key=lambda p: (p.count("/"), p))
-    return min(slots, key=lambda p: (-slots[p], p)) if slots else ""
+        return "\n".join(f"={p}" for p in sorted({BARE.sub("", p) for p in named}, key=lambda p: (p.count("/"), p)))
+    ranked = sorted(slots, key=lambda p: (-slots[p], p))
+    return "\n".join(p for p in ranked if BARE.sub("", p) == BARE.sub("", ranked[0]))
 
 
 def host(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def host_labels(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, labels): the class and id words of containers that recur on a host's pages, with blanks between."""
+
+    def counted(batches):
+        held: Counter = Counter()
+
+        def flushed():
+            names, labels = zip(*held, strict=True) if held else ((), ())
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(labels, pa.string()), pa.array(list(held.values()), pa.int64())], ["host", "label", "n"]
+            )
+            held.clear()
+            return out
+
+        for batch in batches:
+            for name, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = {""}                             # the page itself
+                for found in TOKEN.finditer(page.as_py() or ""):
+                    if found["rest"] and "=" in found["rest"] and _is_container(found["name"].lower()):
+                        own.update(_labels({k.lower(): (a or b or c) for k, a, b, c in ATTRIBUTE.findall(found["rest"])}))
+                held.update((name, x) for x in own)
+                if len(held) > 100_000:
+                    yield flushed()
+        yield flushed()
+
+    found = pages.select(host(url).alias("host"), html).mapInArrow(counted, "host string, label string, n bigint")
+    found = found.groupBy("host", "label").agg(F.sum("n").alias("n"))
+    of = found.where("label = ''").select("host", F.col("n").alias("of"))
+    often = (F.col("n") >= F.least(F.lit(2), "of")) & (LABEL_PART * F.col("n") >= F.col("of"))
+    return found.join(of, "host").where(often).groupBy("host").agg(
+        F.array_join(F.sort_array(F.collect_list("label")), " ").alias("labels")
+    )
+
+
+def _sets():
+    """Label sets out of their strings, each made once."""
+    held: dict[str | None, frozenset[str]] = {}
+    return lambda labels: held[labels] if labels in held else held.setdefault(labels, frozenset((labels or "").split()))
+
+
+def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", labels: DataFrame | None = None) -> DataFrame:
     """(host, wrapper, expression, root): one wrapper per host, from all its pages."""
+    labels = host_labels(pages, url, html) if labels is None else labels
 
     def partial(batches):
         held: dict[str, list] = {}
         seen: dict[str, set] = {}
+        kept = _sets()
 
         def flushed():
             out = pa.RecordBatch.from_arrays(
@@ -282,8 +349,8 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
             return out
 
         for batch in batches:
-            for name, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = page_wrapper(page.as_py() or "")
+            for name, page, keep in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                own = page_wrapper(page.as_py() or "", kept(keep))
                 known = seen.setdefault(name, set())
                 mark = hash(json.dumps(own))
                 if mark not in known:
@@ -309,46 +376,58 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
 
     folded.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     schema = "host string, wrapper string, expression string, root string"
-    parts = pages.select(host(url).alias("host"), html).mapInArrow(partial, "host string, wrapper string")
+    rows = pages.select(host(url).alias("host"), F.col(html).alias("html")).join(labels, "host", "left")
+    parts = rows.select("host", "html", "labels").mapInArrow(partial, "host string, wrapper string")
     parts = parts.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTIALS))).distinct()
     parts = parts.groupBy("host", "part").applyInArrow(folded, schema)
     return parts.groupBy("host").applyInArrow(folded, schema)
 
 
-def main_text(page: str, root: str) -> str:
-    """The text blocks of the container ``root`` in page order, joined by line feeds."""
-    every, inside = [], []
-    blocks: dict[bool, list[str]] = {True: [], False: []}
+def main_text(page: str, root: str, keep: frozenset[str] | None = None) -> str:
+    """The text blocks of the first container of ``root`` that holds any, in page order, joined by line feeds."""
+    roots = root.split("\n") if root else []
+    blocks: list[list[str]] = [[] for _ in range(len(roots) + 1)]      # the last is the whole page
+    texts: list[list[str]] = [[] for _ in blocks]
+    places: dict[str, list[int]] = {}
 
-    def flush():
-        for which, target in ((True, inside), (False, every)):
-            text = SPACES.sub(" ", "".join(blocks[which])).strip()
-            if text:
-                target.append(text)
-            blocks[which].clear()
+    def holding(path: str) -> list[int]:
+        bare = BARE.sub("", path) + "/"
+        return [i for i, r in enumerate(roots) if (bare.startswith(f"{r[1:]}/") if r[0] == "=" else f"{path}/".startswith(f"{r}/"))] + [len(roots)]
 
-    for kind, value, path, seen in tokens(page):
+    def flush():
+        for block, target in zip(blocks, texts, strict=True):
+            if block:
+                text = SPACES.sub(" ", "".join(block)).strip()
+                if text:
+                    target.append(text)
+                block.clear()
+
+    for kind, value, path, seen in tokens(page, keep):
         if kind == "text":
             if seen:
                 text = entities.unescape(value)
-                blocks[False].append(text)
-                if root and (path == root or path.startswith(root + "/")):
-                    blocks[True].append(text)
+                if path not in places:
+                    places[path] = holding(path)
+                for i in places[path]:
+                    blocks[i].append(text)
         elif kind == "break" or value in BLOCK:
             flush()
     flush()
-    return "\n".join(inside or every)
+    return "\n".join(next((x for x in texts if x), []))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page, by the wrapper of its host."""
     scratch = Scratch(pages.sparkSession)
-    roots = scratch.keep("wrappers", infer_wrappers(pages, url, html)).select("host", "root")
+    labels = scratch.keep("labels", host_labels(pages, url, html))
+    roots = scratch.keep("wrappers", infer_wrappers(pages, url, html, labels)).select("host", "root").join(labels, "host", "left")
 
-    def taken(html: pa.Array, root: pa.Array) -> pa.Array:
-        return pa.array([main_text(h.as_py() or "", r or "") for h, r in zip(html, root.to_pylist(), strict=True)], pa.string())
+    def taken(html: pa.Array, root: pa.Array, labels: pa.Array) -> pa.Array:
+        kept = _sets()
+        rows = zip(html, root.to_pylist(), labels.to_pylist(), strict=True)
+        return pa.array([main_text(h.as_py() or "", r or "", kept(x)) for h, r, x in rows], pa.string())
 
-    taken.__annotations__ = {"html": pa.Array, "root": pa.Array, "return": pa.Array}
+    taken.__annotations__ = {"html": pa.Array, "root": pa.Array, "labels": pa.Array, "return": pa.Array}
     rows = pages.select(F.col(id_col), F.col(url), F.col(html).alias("html"), host(url).alias("host")).join(roots, "host", "left")
-    rows = rows.select(id_col, url, F.arrow_udf(taken, "string")(F.col("html"), F.col("root")).alias("text"))
+    rows = rows.select(id_col, url, F.arrow_udf(taken, "string")(F.col("html"), F.col("root"), F.col("labels")).alias("text"))
     return rows.select(id_col, url, "text", F.length("text").cast("bigint").alias("n_chars"))

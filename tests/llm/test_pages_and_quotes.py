@@ -34,6 +34,25 @@ def test_other_page_shapes(spark):
     assert wrappers.extract(docs.limit(0)).count() == 0
 
 
+def test_labels_of_single_pages_do_not_part_a_host(spark):
+    shell = '<body class="postid-{0} blog"><div class="wrap">{1}<div class="extra"><p>Extra {0}</p></div></div></body>'
+    rows = [(i, "http://w.org/a", shell.format(i, f'<article class="post-{i}"><p>Text {i}</p></article>')) for i in range(80)]
+    rows += [(100 + i, "http://v.org/a", shell.format(i, f'<div class="post-{i} entry"><p>Text {i}</p><p>More {i}</p></div>')) for i in range(80)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(docs).collect()}
+    assert got == {i: f"Text {i}" for i in range(80)} | {100 + i: f"Text {i}\nMore {i}" for i in range(80)}
+    held = {r.host: r for r in wrappers.infer_wrappers(docs).collect()}
+    assert all(len(r.wrapper) < 2000 and "post-" not in r.wrapper for r in held.values())
+
+
+def test_wrapper_stays_small_whatever_the_order():
+    keys = [f"<div class='k{i}'><p>x{i}</p></div>" for i in range(40)]
+    held = wrappers.page_wrapper("".join(keys))
+    for i in range(1, 40):
+        held = wrappers.merge(held, wrappers.page_wrapper("".join(keys[i:] + keys[:i])))
+    assert len(str(held)) < 3 * len(str(wrappers.page_wrapper("".join(keys))))
+
+
 def test_wrapper_is_an_expression_of_the_host():
     pages = [f"<ul>{'<li>x' * n}</ul><p>{n} same</p>{'<hr>' * (n % 2)}<div><b>{n}</b></div>" * (1 + n // 4) for n in (1, 3, 5)]
     held = wrappers.page_wrapper(pages[0])

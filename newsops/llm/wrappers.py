@@ -15,7 +15,9 @@ number, do not keep pages from aligning.
 A host's wrapper tells which container holds the content: ``article`` or ``main`` if it has one, else
 the container with most slots in text blocks, or the one in its place under other labels.  The page's text blocks in that container are its main
 text, without the parts that are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments by their element, role or class.  Nothing else is dropped.
+styles or reader comments by their element, role or class.  Class and id words say nothing on headings,
+paragraphs and quotations, and an id says something only if it recurs on the host's pages or has no
+other words.  Nothing else is dropped, constant texts of the container included.
 
 A null or empty page has an empty text.  A null url belongs to the host "".  A page without the
 container of its host falls back to its own stream.  Repeated rows repeat; extra columns are ignored.
@@ -52,6 +54,7 @@ OUTSIDE_WORDS = frozenset(
     "recommended comment comments disqus respond replies reply widget toolbar pagination pager skip".split()
 )
 CONTENT = frozenset("article main".split())
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
 P_CLOSERS = BLOCK - frozenset("body html head title option optgroup caption legend summary".split())
 
 TOKEN = re.compile(
@@ -69,13 +72,16 @@ LABEL_PART = 4                  # a label recurs if one in so many of the host's
 BARE = re.compile(r"\.[^/]*")
 
 
-def _outside(name: str, attributes: dict[str, str]) -> bool:
+def _outside(name: str, attributes: dict[str, str], keep: frozenset[str] | None = None) -> bool:
     if name in OUTSIDE or attributes.get("role", "").lower() in OUTSIDE_ROLES or "hidden" in attributes:
         return True
-    if name in CONTENT or name in ("html", "body"):
+    if name in CONTENT or name in TEXTUAL or name in ("html", "body"):
         return False
-    labels = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return any(word in OUTSIDE_WORDS for word in WORDS.findall(labels))
+    if any(word in OUTSIDE_WORDS for word in WORDS.findall(attributes.get("class", "").lower())):
+        return True
+    own = attributes.get("id", "")
+    words = [word in OUTSIDE_WORDS for word in WORDS.findall(own.lower())]
+    return all(words) and bool(words) or any(words) and (keep is None or own.replace("/", "|") in keep)
 
 
 def _labels(attributes: dict[str, str]) -> list[str]:
@@ -136,7 +142,7 @@ def tokens(page: str, keep: frozenset[str] | None = None):
         path, seen = state()
         if _is_container(name):
             path = ".".join([f"{path}/{name}", *(x for x in _labels(attributes) if keep is None or x in keep)])
-        stack.append((name, path, seen and name not in UNSEEN and not _outside(name, attributes)))
+        stack.append((name, path, seen and name not in UNSEEN and not _outside(name, attributes, keep)))
         yield "open", name, *state()
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
@@ -310,7 +316,8 @@ def host_labels(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
                 own = {""}                             # the page itself
                 for found in TOKEN.finditer(page.as_py() or ""):
                     if found["rest"] and "=" in found["rest"] and _is_container(found["name"].lower()):
-                        own.update(_labels({k.lower(): (a or b or c) for k, a, b, c in ATTRIBUTE.findall(found["rest"])}))
+                        attributes = {k.lower(): (a or b or c) for k, a, b, c in ATTRIBUTE.findall(found["rest"])}
+                        own.update(_labels(attributes), _labels({"id": attributes.get("id", "")}))
                 held.update((name, x) for x in own)
                 if len(held) > 100_000:
                     yield flushed()
@@ -420,7 +427,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     """(id, url, text, n_chars) of every page, by the wrapper of its host."""
     scratch = Scratch(pages.sparkSession)
     labels = scratch.keep("labels", host_labels(pages, url, html))
-    roots = scratch.keep("wrappers", infer_wrappers(pages, url, html, labels)).select("host", "root").join(labels, "host", "left")
+    roots = scratch.keep("wrappers", infer_wrappers(pages, url, html, labels)).select("host", "root")
+    roots = scratch.keep("roots", roots.join(labels, "host", "left"))                  # with its own size, for the join
 
     def taken(html: pa.Array, root: pa.Array, labels: pa.Array) -> pa.Array:
         kept = _sets()

@@ -45,6 +45,17 @@ def test_labels_of_single_pages_do_not_part_a_host(spark):
     assert all(len(r.wrapper) < 2000 and "post-" not in r.wrapper for r in held.values())
 
 
+def test_words_on_content_do_not_drop_it(spark):
+    page = (
+        '<article><p class="lead header">Lead {0}</p><h2 id="related-work">Work {0}</h2><section id="impact-{0}"><p>A {0}</p></section>'
+        '{1}<div id="comments"><p>c</p></div><div class="share-bar">s</div><div id="sidebar-left">n {0}</div></article>'
+    )
+    rows = [(i, "http://a.org", page.format(i, '<section id="social-impact"><p>S</p></section>' if i == 3 else "")) for i in range(9)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(docs).collect()}
+    assert got == {i: f"Lead {i}\nWork {i}\nA {i}" + "\nS" * (i == 3) for i in range(9)}
+
+
 def test_wrapper_stays_small_whatever_the_order():
     keys = [f"<div class='k{i}'><p>x{i}</p></div>" for i in range(40)]
     held = wrappers.page_wrapper("".join(keys))

@@ -6,7 +6,8 @@ A line's level is the number of its leading ``>`` marks.  The lines of one level
 other levels are passages; a passage is normalised (lower case, letters and digits, single blanks) and
 hashed as a whole and sentence by sentence, so that a partial or re-wrapped quotation still meets its
 original.  The original of a hash is the earliest message that has it at level 0: first in the same
-conversation, else anywhere.  A message answers the message that most of its level-1 text comes from
+conversation, else in the least other one.  A passage or sentence of under ``MIN_UNIT`` characters says
+too little across conversations; a whole passage of that kind meets originals of its own conversation.  A message answers the message that most of its level-1 text comes from
 (by characters, then the latest), and level n of a message belongs to level n - 1's original in turn.
 A message without a linked quotation answers the one before it in its conversation.
 
@@ -22,13 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.rank import distributed_position
+from ..operators.rank import distributed_position, top_per_group
 from .common import Scratch, row_key
 
 # The lines that mail programs put before a quotation.
 ATTRIBUTION = r"(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió|[^>]{1,80} (wrote|writes|schrieb|a écrit|escribió))\s*:\s*$"
 MARKS = r"^((?:[ \t]*>)*)"
-MIN_UNIT = 12                    # characters a quoted sentence needs to count as evidence
+MIN_UNIT = 12                    # characters a sentence, or a passage of another conversation, needs to count as evidence
 
 
 def normalised(text: Column) -> Column:
@@ -66,9 +67,8 @@ def units(parts: DataFrame) -> DataFrame:
     levels = parts.select("_key", "conv", "turn", F.explode("levels").alias("l"))
     flat = levels.select("_key", "conv", "turn", F.col("l.level").alias("level"), F.explode("l.passages").alias("passage"))
     sentences = F.split(F.regexp_replace("passage", r"\s+", " "), r"(?<=[.!?])\s+")
-    every = F.filter(
-        F.transform(F.array_union(F.array("passage"), sentences), normalised), lambda x: F.length(x) >= MIN_UNIT
-    )
+    long = F.filter(F.transform(sentences, normalised), lambda x: F.length(x) >= MIN_UNIT)
+    every = F.array_union(F.array(normalised(F.col("passage"))), long)         # the passage has a letter or digit
     return flat.select("_key", "conv", "turn", "level", F.explode(F.array_distinct(every)).alias("said")).select(
         "_key", "conv", "turn", "level", F.unhex(F.md5("said")).alias("unit"), F.length("said").alias("size")
     )
@@ -90,7 +90,10 @@ def link_quotations(
     held = scratch.keep("held", said.where("level = 0").join(wanted, "unit", "left_semi").select("unit", "conv", "turn", "_key").distinct())
     place = F.struct(F.col("turn").isNotNull().alias("s"), "turn", F.col("_key").alias("k"))
     near = held.groupBy("unit", "conv").agg(F.min(place).alias("near"))
-    far = held.groupBy("unit").agg(F.min(F.struct("conv", "turn", F.col("_key").alias("k"))).alias("far"))
+    # The two least conversations that have a unit: one of them is another than the quoting one.
+    holder = F.struct("conv", F.col("near.turn").alias("turn"), F.col("near.k").alias("k"))
+    least = top_per_group(near.select("unit", holder.alias("holder")), ["unit"], [F.col("holder")], 2, "nth")
+    far = least.groupBy("unit").agg(F.min("holder").alias("far"), F.max(F.when(F.col("nth") == 2, F.col("holder"))).alias("second"))
 
     found = quoted.alias("q").join(
         near.alias("n"), (F.col("q.unit") == F.col("n.unit")) & F.col("q.conv").eqNullSafe(F.col("n.conv")), "left"
@@ -98,9 +101,10 @@ def link_quotations(
     inside = F.col("near").isNotNull() & (F.col("near.k") != F.col("q._key")) & (
         F.coalesce(F.col("near.turn") < F.col("q.turn"), F.col("q.turn").isNotNull())
     )
-    outside = F.col("far").isNotNull() & ~F.col("far.conv").eqNullSafe(F.col("q.conv"))
+    other = F.when(~F.col("far.conv").eqNullSafe(F.col("q.conv")), F.col("far")).otherwise(F.col("second"))
+    outside = other.isNotNull() & (F.col("size") >= MIN_UNIT)
     target = F.when(inside, F.struct(F.col("q.conv").alias("conv"), F.col("near.turn").alias("turn"), F.col("near.k").alias("k"))).when(
-        outside, F.struct(F.col("far.conv").alias("conv"), F.col("far.turn").alias("turn"), F.col("far.k").alias("k"))
+        outside, other
     )
     voted = found.select("q._key", "level", "size", target.alias("target"), inside.alias("inside")).where("target is not null").groupBy(
         "_key", "level", "target", "inside"

@@ -98,6 +98,21 @@ def test_quotations_meet_their_originals(spark):
     assert quotes.link_quotations(docs.limit(0)).count() == 0
 
 
+def test_short_and_restated_quotations_keep_their_link(spark):
+    rows = [
+        (1, 0, "a", "Come on?"), (1, 1, "b", "Yes, I do."), (1, 2, "a", "Something else."), (1, 3, "c", "> Yes, I do.\nGood."),
+        (2, 0, "d", "> The committee has met on Monday.\n\nThe committee has met on Monday."),
+        (2, 1, "d", "The committee has met on Monday."),
+        (5, 0, "e", "The committee has met on Monday."), (5, 1, "e", "> Come on?\nNo."),
+        (6, 0, "f", "我们明天去"), (6, 1, "f", "好"), (6, 2, "f", "> 我们明天去\n同意"),
+    ]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.linked, r.reply_to_conv, r.reply_to_turn) for r in quotes.link_quotations(docs).collect()}
+    assert got[1, 3] == (True, 1, 1) and got[6, 2] == (True, 6, 0)
+    assert got[2, 0] == (True, 5, 0)
+    assert not got[5, 1][0]                                     # too short to say anything about another conversation
+
+
 def test_licenses_are_found_whole_and_edited(spark):
     filler = " ".join(f"w{i}" for i in range(150))
     mit = licenses.TEMPLATES["MIT"]

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, row_key
 
 SHINGLE, BANDS, MIN_CONTAINED = 3, 32, 0.8
-CLASSES = (16, 64, 256)         # longest template of a class, in words
+CLASSES = (16, 64, 256)         # longest template of a class, in words; doubled on until the longest template fits
 
 # Public license notices.
 TEMPLATES = {
@@ -81,7 +82,38 @@ TEMPLATES = {
         "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
         "purpose, commercial or non-commercial, and by any means."
     ),
+    "AGPL-notice": "under the terms of the GNU Affero General Public License",
+    "LGPL-notice": "under the terms of the GNU Lesser General Public License",
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+        "for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+        "following restrictions:"
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, "
+        "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to "
+        "whom the Software is furnished to do so, all subject to the following:"
+    ),
 }
+# Whole license texts, as files beside this module.
+_FILES = {"BSD": "BSD-3-Clause"}
+TEMPLATES |= {
+    _FILES.get(p.stem, f"{p.stem}-text"): p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+}
+
+
+def classes(templates: dict[str, str]) -> list[int]:
+    """The length classes: ``CLASSES``, and doubled from there until the longest template fits."""
+    longest, limits = max((len(_words(t)) for t in templates.values()), default=0), list(CLASSES)
+    while limits[-1] < longest:
+        limits.append(2 * limits[-1])
+    return limits
 
 
 def _words(text: str) -> list[str]:
@@ -131,8 +163,9 @@ def template_shingles(spark: SparkSession, templates: dict[str, str]) -> DataFra
     """(license, class, h): the distinct shingles of every template; its size is that of the list."""
     rows = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in sorted(templates.items())])
     held = spark.range(1).select(F.explode(rows).alias("t")).select("t.license", text_words("t.text").alias("words"))
-    size, at = F.size("words"), F.lit(CLASSES[-1])
-    for limit in reversed(CLASSES):
+    limits = classes(templates)
+    size, at = F.size("words"), F.lit(limits[-1])
+    for limit in reversed(limits):
         at = F.when(size <= limit, F.lit(limit)).otherwise(at)
     return held.select("license", at.alias("class"), F.explode(F.array_distinct(shingles(F.col("words")))).alias("h"))
 
@@ -140,8 +173,6 @@ def template_shingles(spark: SparkSession, templates: dict[str, str]) -> DataFra
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, license, contained, first_word, n_windows) for every license found in a document."""
     templates = TEMPLATES if templates is None else templates
-    if any(len(_words(t)) > CLASSES[-1] for t in templates.values()):
-        raise ValueError(f"a template may have {CLASSES[-1]} words")
     spark = docs.sparkSession
     scratch = Scratch(spark)
     known = scratch.keep("templates", template_shingles(spark, templates))

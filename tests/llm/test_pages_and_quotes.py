@@ -130,6 +130,17 @@ def test_licenses_are_found_whole_and_edited(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_whole_license_texts(spark):
+    texts = {k: v for k, v in licenses.TEMPLATES.items() if k.endswith("-text") or k in ("BSD-3-Clause", "ISC", "Zlib", "BSL-1.0")}
+    filler = " ".join(f"w{i}" for i in range(3000))
+    docs = spark.createDataFrame([(k, f"{filler} {v} {filler}") for k, v in texts.items()] + [("none", filler)], "doc_id string, text string")
+    got = {}
+    for r in licenses.scan(docs).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert len(texts) == 11 and set(got) == set(texts) and all(k in v for k, v in got.items())
+    assert all(len([x for x in v if x.endswith("-text")]) <= 1 for v in got.values())
+
+
 def test_anchors_lose_nothing():
     chosen = set(licenses.anchors(licenses.TEMPLATES))
     for text in licenses.TEMPLATES.values():

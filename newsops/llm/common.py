@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..session import shared_folder
 
@@ -60,3 +61,23 @@ class Scratch:
     def _remove(self, path: str) -> None:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], scratch: Scratch, name: str = "numbered") -> DataFrame:
+    """``rows`` with ``pos`` (0, 1, ... in the order of the columns ``order``) and ``n``, the rows of the group.
+
+    Rows are range-partitioned on group and order and written; each slice numbers its own rows and adds
+    the sizes of the group's slices before it, so no task holds a whole group.  ``rows`` should be
+    narrow and already written, as range partitioning reads them twice.
+    """
+    placed = scratch.keep(name, rows.repartitionByRange(group, *order).withColumn("_slice", F.spark_partition_id()))
+    sizes = placed.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = W.partitionBy(group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(
+        group, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(W.partitionBy(group)).alias("n"),
+    )
+    own = F.row_number().over(W.partitionBy(group, "_slice").orderBy(*order))
+    return placed.withColumn("_own", own).join(offsets, [group, "_slice"]).withColumn(
+        "pos", F.col("_before") + F.col("_own") - 1
+    ).drop("_slice", "_before", "_own")

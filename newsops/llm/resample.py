@@ -77,7 +77,7 @@ class Dictionary:
         import ahocorasick
 
         self.words: set[bytes] = set()
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)     # its own integers have 32 bits
 
     def learn(self, texts: list[bytes]) -> None:
         """Add the distinct words of texts whose words are separated by one delimiter."""

@@ -91,17 +91,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-@_named("op7_line_dedup", r"""
-WITH lines AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM (
+_UNSPACED = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in linededup.UNSPACED_RANGES)
+
+
+@_named("op7_line_dedup", rf"""
+WITH lines AS (SELECT doc_id, line_no, regexp_extract_all(line, '[{_UNSPACED}]|[^\x20\x09-\x0D{_UNSPACED}]+') AS ws FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents)),
-long AS (SELECT * FROM lines WHERE len(ws) >= 8),
-own AS (SELECT ws, min(ROW(doc_id, line_no)) AS spot FROM long GROUP BY ws),
-without AS (SELECT ws, spot, i, list_concat(list_slice(ws, 1, i - 1), list_slice(ws, i + 1, len(ws))) AS v FROM (SELECT ws, spot, unnest(range(1, len(ws) + 1)) AS i FROM own)),
+said AS (SELECT * FROM lines WHERE len(ws) > 0),
+own AS (SELECT ws, min(ROW(doc_id, line_no)) AS spot FROM said GROUP BY ws),
+long AS (SELECT ws, spot FROM own WHERE list_sum(list_transform(ws, lambda w: CASE WHEN regexp_full_match(w, '[{_UNSPACED}]') THEN 1 ELSE 2 END)) >= 16),
+without AS (SELECT ws, spot, i, list_concat(list_slice(ws, 1, i - 1), list_slice(ws, i + 1, len(ws))) AS v FROM (SELECT ws, spot, unnest(range(1, len(ws) + 1)) AS i FROM long)),
 near AS (
   SELECT ws FROM (SELECT ws, spot, min(spot) OVER (PARTITION BY v, i) AS least FROM without) WHERE least < spot
-  UNION SELECT o.ws FROM own o JOIN without s ON o.ws = s.v WHERE s.spot < o.spot
-  UNION SELECT s.ws FROM own o JOIN without s ON o.ws = s.v WHERE o.spot < s.spot),
-gone AS (SELECT l.doc_id, l.line_no, n.ws IS NOT NULL AS near FROM long l JOIN own o USING (ws) LEFT JOIN near n USING (ws)
+  UNION SELECT o.ws FROM long o JOIN without s ON o.ws = s.v WHERE s.spot < o.spot
+  UNION SELECT s.ws FROM long o JOIN without s ON o.ws = s.v WHERE o.spot < s.spot),
+gone AS (SELECT l.doc_id, l.line_no, n.ws IS NOT NULL AS near FROM said l JOIN own o USING (ws) LEFT JOIN near n USING (ws)
   WHERE n.ws IS NOT NULL OR ROW(l.doc_id, l.line_no) <> o.spot),
 told AS (SELECT doc_id, count(*) AS n_dropped, count(*) FILTER (near) AS n_near, string_agg(line_no, ',' ORDER BY line_no) AS dropped_lines FROM gone GROUP BY doc_id)
 SELECT doc_id, coalesce(n_dropped, 0) AS n_dropped, coalesce(n_near, 0) AS n_near, coalesce(dropped_lines, '') AS dropped_lines

@@ -102,17 +102,29 @@ def test_sketch_coordinates_estimate_similarity():
         assert abs(np.mean(errors)) < 0.04
 
 
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+UNIT = re.compile(f"{UNSPACED.pattern}|[^\\x20\\x09-\\x0D{UNSPACED.pattern[1:-1]}]+")
+
+
 def expected_dropped(rows):
     seen = defaultdict(list)
     for key, text in set(rows):
         for k, line in enumerate((text or "").split("\n")):
-            words = tuple(WORD.findall(line))
-            if len(words) >= linededup.MIN_WORDS:
-                seen[words].append(((key is not None, key or 0), key, text, k))
+            units = tuple(UNIT.findall(line))
+            if units:
+                seen[units].append(((key is not None, key or 0), key, text, k))
     first = {w: min(x[0] for x in places) for w, places in seen.items()}
 
+    def heavy(units):
+        return sum(1 if UNSPACED.fullmatch(u) else 2 for u in units) >= 16
+
     def close(a, b):
-        return a != b and linededup.within_one_word(" ".join(a), " ".join(b))
+        if a == b or not heavy(a) or not heavy(b) or abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:i] + b[i + 1:] == a for i in range(len(b)))
 
     gone = defaultdict(set)
     for words, places in seen.items():
@@ -124,7 +136,7 @@ def expected_dropped(rows):
     return gone
 
 
-def test_lines_go_when_an_earlier_line_is_within_one_word(spark, odd_docs, no_docs):
+def test_lines_go_when_an_earlier_line_is_within_one_unit(spark, odd_docs, no_docs):
     rng = random.Random(4)
     lines = [[f"w{rng.randrange(500)}" for _ in range(rng.randint(6, 30))] for _ in range(25)]
     rows = []
@@ -160,17 +172,17 @@ def test_short_lines_and_scripts_without_spaces(spark):
         (3, "วันนี้อากาศดีมากเราไปเดินเล่น\nRead more\n\nlast"), (4, "วันนี้อากาศดีมากเราไปเดินเล่น\n短句"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (set(r.dropped_lines), r.n_near) for r in linededup.line_report(docs, every=True).collect()}
+    got = {r.doc_id: (set(r.dropped_lines), r.n_near) for r in linededup.line_report(docs).collect()}
     assert got == {1: (set(), 0), 2: ({0, 1}, 1), 3: ({1}, 0), 4: ({0, 1}, 0)}
     left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert left == {1: rows[0][1], 2: "few words there\n短语", 3: "วันนี้อากาศดีมากเราไปเดินเล่น\n\nlast"}
 
 
-def test_within_one_word():
+def test_within_one_unit():
     near = [("a b c", "a b c"), ("a b c", "a x c"), ("a b c", "a c"), ("b c", "a b c"), ("a b", "a b c")]
     far = [("a b c", "a c b"), ("a b c", "c"), ("a b c", "x b y"), ("a b", "b c a")]
-    assert all(linededup.within_one_word(*p) and linededup.within_one_word(*p[::-1]) for p in near)
-    assert not any(linededup.within_one_word(*p) or linededup.within_one_word(*p[::-1]) for p in far)
+    assert all(linededup.within_one_unit(*p) and linededup.within_one_unit(*p[::-1]) for p in near)
+    assert not any(linededup.within_one_unit(*p) or linededup.within_one_unit(*p[::-1]) for p in far)
 
 
 def expected_targets(sizes):

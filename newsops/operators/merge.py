@@ -154,6 +154,24 @@ def merge_articles(incoming: DataFrame, local: DataFrame, by_run: bool = True) -
     return mine.unionByName(fresh)
 
 
+def article_changes(incoming: DataFrame, local: DataFrame, by_run: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What a merge changes: the rows to add, and (id, created_at) of local rows that become favourites.
+
+    Of ``local`` only id, key, favorite and created_at are read, and only rows with an incoming key or an
+    incoming id travel; :func:`merge_articles` gives the whole table instead.
+    """
+    key = ["run_id", "topic_id", "content_hash"] if by_run else ["topic_id", "content_hash"]
+    folded = incoming.groupBy(*key).agg(F.bool_or("favorite").alias("in_favorite"))
+    met = local.select("id", "created_at", "favorite", *key).join(folded, key)
+    flips = met.where(F.col("in_favorite") & ~F.col("favorite")).select("id", "created_at")
+    first = top_per_group(incoming, key, [F.col("created_at"), F.col("id")], 1, "_rn").drop("_rn", "favorite")
+    fresh = first.join(met.select(*key).distinct(), key, "left_anti").join(folded, key).withColumnRenamed("in_favorite", "favorite")
+    taken = local.select(F.col("id").alias("_taken")).join(incoming.select(F.col("id").alias("_taken")).distinct(), "_taken", "left_semi")
+    free = F.when(F.col("_taken").isNull(), F.col("id")).otherwise(F.substring(F.sha2(F.concat_ws("/", "id", *key), 256), 1, 32))
+    fresh = fresh.join(taken, F.col("id") == F.col("_taken"), "left").withColumn("id", free).drop("_taken")
+    return fresh, flips
+
+
 def recount(runs: DataFrame, articles: DataFrame) -> DataFrame:
     """Runs with the number of articles they now have."""
     n = articles.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))

@@ -198,3 +198,41 @@ def union_precedence(spark, sf_dir):
     )
     second = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.lit("customer").alias("origin"), F.lit(0).cast("bigint").alias("n"))
     return merge.union_with_precedence([first, second], "key")
+
+
+@query("merge_history_twice", V.sql(V.ARTICLES, V.TITLED, V.SOURCES, _SIDES, """
+added AS (SELECT run_id, topic_id, content_hash, bool_or(favorite) AS favorite FROM inc_mapped i
+  WHERE NOT EXISTS (SELECT 1 FROM loc l WHERE l.run_id = i.run_id AND l.topic_id = i.topic_id AND l.content_hash = i.content_hash) GROUP BY ALL),
+keys AS (SELECT DISTINCT run_id, topic_id, content_hash FROM inc_mapped),
+after AS (SELECT l.topic_id, l.favorite OR coalesce(f.fav, FALSE) AS favorite FROM loc l
+  LEFT JOIN (SELECT run_id, topic_id, content_hash, bool_or(favorite) AS fav FROM inc_mapped GROUP BY ALL) f USING (run_id, topic_id, content_hash)
+  UNION ALL SELECT topic_id, favorite FROM added),
+counts AS (
+  SELECT 'source' AS entity, count(*) AS incoming, 0 AS new, 0 AS remapped FROM sources
+  UNION ALL SELECT 'topic', count(DISTINCT topic_id), count(DISTINCT topic_id) FILTER (topic_id NOT IN (SELECT topic_id FROM loc)), 0 FROM inc
+  UNION ALL SELECT 'run', count(*), count(*) FILTER (state = 'new'), count(*) FILTER (state = 'remapped') FROM run_map
+  UNION ALL SELECT 'article', (SELECT count(*) FROM keys), (SELECT count(*) FROM added), 0)""", select="""
+SELECT 1 AS step, entity, incoming, new, incoming - new - remapped AS matched, remapped FROM counts
+UNION ALL SELECT 2, entity, incoming, 0, incoming, 0 FROM counts
+UNION ALL SELECT 3, topic_id, count(*), 0, count(*) FILTER (favorite), 0 FROM after GROUP BY topic_id"""))
+def merge_history_twice(spark, sf_dir):
+    """A bundle merged into a store twice, and the articles and favourites of each topic afterwards."""
+    from ..plans.importing import merge_history
+    from ..sources.store import Change
+    from .runs import _new_store
+
+    def tables(rows):
+        rows = rows.select("id", "run_id", "topic_id", "source_id", "content_hash", "favorite", "created_at")
+        runs = runs_of(rows).withColumn("ordinal", F.lit(0).cast("bigint")).withColumn("history_only", F.lit(False))
+        sources = V.sources(spark, sf_dir).select(
+            "source_id", "name", "url", F.col("url").alias("canonical_url"), "category", "preset_id", "enabled", "archived", "user_modified")
+        return {"sources": sources, "topics": rows.select("topic_id", F.upper("topic_id").alias("name")).distinct(), "runs": runs, "articles": rows}
+
+    local, bundle = tables(local_articles(spark, sf_dir)), tables(incoming_articles(spark, sf_dir))
+    store = _new_store(spark, {name: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) for name, rows in local.items()})
+    store.commit({name: Change(rows) for name, rows in local.items()})
+    steps = [merge_history(store, bundle).preview.withColumn("step", F.lit(k)) for k in (1, 2)]
+    out = steps[0].unionByName(steps[1]).select("step", "entity", "incoming", "new", "matched", "remapped")
+    stored = store.read("articles").groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("favorite").alias("f"))
+    return out.unionByName(stored.select(
+        F.lit(3).alias("step"), F.col("topic_id").alias("entity"), F.col("n").alias("incoming"), F.lit(0).alias("new"), F.col("f").alias("matched"), F.lit(0).alias("remapped")))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import funnel, history, score
+from ..session import shared_folder
+from ..sources import store
 from . import views as V
 from .registry import query
 
@@ -316,3 +321,57 @@ def catalog_sync(spark, sf_dir):
     )
     synced = catalog.sync_presets(V.sources(spark, sf_dir), by_source.unionByName(by_lang), version=3)
     return synced.where("action <> 'untouched'").select("source_id", "action", "name", "preset_id")
+
+
+# -- the stored history: two inserts that overlap, then retention ---------------------------------
+@query("history_store", V.sql(V.ARTICLES, f"""
+keyed AS (SELECT source_id || '-' || strftime(created_at, '%Y%m%d') AS run_id, lang, coalesce(full_text, '') AS t, CAST(created_at AS DATE) AS day,
+  bool_or(article_id % 3 <> 0 AND created_at < TIMESTAMP '{V.AS_OF}' - INTERVAL 3 DAY) AS early, bool_or(created_at >= TIMESTAMP '{V.AS_OF}' - INTERVAL 10 DAY) AS late
+  FROM articles WHERE created_at IS NOT NULL GROUP BY ALL),
+kept AS (SELECT *, day < CAST(TIMESTAMP '{V.AS_OF}' - INTERVAL 14 DAY AS DATE) AS old FROM keyed WHERE early OR late)""", select=f"""
+SELECT day, count(*) AS rows, count(*) FILTER (NOT old AND t <> '') AS texts,
+  CASE WHEN day <= CAST(TIMESTAMP '{V.AS_OF}' - INTERVAL 14 DAY AS DATE) AND bool_or(t <> '') THEN 1
+    ELSE bool_or(early)::BIGINT + bool_or(late AND NOT early)::BIGINT END AS folders FROM kept GROUP BY day"""))
+def history_store(spark, sf_dir):
+    """Rows, texts and live folders of each day: what is stored stays, old days alone are written again."""
+    rows = V.articles(spark, sf_dir).where("created_at IS NOT NULL").select(
+        F.col("article_id").cast("string").alias("id"), F.concat_ws("-", "source_id", F.date_format("created_at", "yyyyMMdd")).alias("run_id"),
+        F.col("lang").alias("topic_id"), F.sha2(F.coalesce("full_text", F.lit("")), 256).alias("content_hash"), "full_text", "created_at")
+    table = _new_store(spark, {"articles": "id string, run_id string, topic_id string, content_hash string, full_text string, created_at timestamp"})
+    order = [F.col("id").cast("bigint")]
+    ago = lambda days: V.as_of() - F.make_interval(days=F.lit(days))
+    store.insert_articles(table, rows.where((F.col("id").cast("bigint") % 3 != 0) & (F.col("created_at") < ago(3))), order)
+    store.insert_articles(table, rows.where(F.col("created_at") >= ago(10)), order)
+    store.blank_texts(table, dt.datetime.fromisoformat(V.AS_OF), 14)
+    folders = table.log().join(spark.createDataFrame([(r.day, r.version) for r in table.live("articles")], "day date, version string"), ["day", "version"])
+    return table.read("articles").groupBy(F.to_date("created_at").alias("day")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("full_text") != "").alias("texts")
+    ).join(folders.groupBy("day").agg(F.count(F.lit(1)).alias("folders")), "day")
+
+
+def _new_store(spark, schemas):
+    root = f"{shared_folder(spark).rstrip('/')}/newsops-store-{uuid.uuid4().hex}"
+    return store.Store(spark, root, schemas, {"articles": "created_at"})
+
+
+@query("stream_committed_runs", """
+SELECT event_type AS source_id, count(*) FILTER (value >= 20) AS articles, count(*) FILTER (value < 20) AS rejected FROM events GROUP BY 1""")
+def stream_committed_runs(spark, sf_dir):
+    """A stream whose batches become runs of a store, each with one log entry; counts per source as readers see them."""
+    from ..streaming import jobs
+
+    table = _new_store(spark, {
+        "articles": "article_id bigint, run_id string, source_id string, created_at timestamp",
+        "errors": "run_id string, source_id string, error string, rows bigint",
+        "runs": "run_id string, status string, started_at timestamp, finished_at timestamp, article_count bigint"})
+    events = spark.readStream.schema(V.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = events.select(
+        F.col("event_id").alias("article_id"), F.col("event_type").alias("source_id"), F.when(F.col("value") < 20, "date_stale").alias("date_reason"))
+    checkpoint = f"{table.root}-checkpoint"
+    jobs.publish_batches(rows, table, checkpoint, V.as_of()).awaitTermination()
+    jobs.publish_batches(rows, table, checkpoint, V.as_of()).awaitTermination()             # nothing new: no run is added
+    ended = table.read("runs").where("status = 'complete'")
+    good = table.read("articles").join(ended.select("run_id"), "run_id", "left_semi").groupBy("source_id").agg(F.count(F.lit(1)).alias("articles"))
+    bad = table.read("errors").groupBy("source_id").agg(F.sum("rows").alias("rejected"))
+    return good.join(bad, "source_id", "full_outer").select(
+        "source_id", F.coalesce("articles", F.lit(0)).alias("articles"), F.coalesce("rejected", F.lit(0)).alias("rejected"))

@@ -203,13 +203,14 @@ def put_cache(scores: DataFrame, as_of: Column, days: int = CACHE_DAYS) -> DataF
 
 def score_with_cache(
     candidates: DataFrame, cache: DataFrame, as_of: Column, scorer: Scorer | None = None,
-    run: str = "run_id", order: list[Column] | None = None, cap: int = MAX_CALLS_PER_RUN,
+    run: str = "run_id", order: list[Column] | None = None, cap: int = MAX_CALLS_PER_RUN, keep_answers: bool = False,
 ) -> DataFrame:
     """Final score per candidate: cached, else fresh from the scorer, else the keyword rule.
 
     Candidates need cache_key, lexical_score, literal_match and the text columns.  A candidate
     without a literal match and without a model score gets no score.  ``ai_status`` says what the
-    scorer did for the row (see :func:`call_scorer`), NULL where it was not needed.
+    scorer did for the row (see :func:`call_scorer`), NULL where it was not needed.  With
+    ``keep_answers`` the scorer's answer stays in ``fresh_score``, as :func:`put_cache` takes it.
     """
     looked = cached_scores(candidates, cache, as_of)
     if scorer is None:
@@ -229,5 +230,5 @@ def score_with_cache(
         .withColumn("analysis_mode", analysis_mode(
             has_model, F.col("cache_hit"), F.col("literal_match"), F.lit(scorer is not None)
         ))
-        .drop("_model", "cached", "fresh_score")
+        .drop("_model", "cached", *([] if keep_answers else ["fresh_score"]))
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import dedup, rank, score
+from ..operators import dedup, rank, review, score
 from ..plans import digest as D
+from ..session import cut
 from . import views as V
 from .matching import matches
 from .registry import query
@@ -106,6 +107,44 @@ def budget_remainder(spark, sf_dir):
     return rank.unprocessed_remainder(pool, done, ["topic_id"])
 
 
+@query("coupled_review_budget", V.sql(*_FULL, """
+rounds AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY published DESC, canonical_url, article_id) AS round
+  FROM named WHERE n_in = 0 AND n_ex = 0),
+lists AS (SELECT topic_id, topic_ord, any_value(article_limit) // 3 AS need,
+    list(struct_pack(id := article_id, counted := l.quality IS NOT NULL, fits := coalesce(l.quality, 0) = 1) ORDER BY round) AS queue
+  FROM rounds LEFT JOIN labels l ON l.doc_id = article_id GROUP BY topic_id, topic_ord),
+run AS (SELECT list(struct_pack(topic_id := topic_id, need := need, queue := queue) ORDER BY topic_ord) AS topics FROM lists),
+walk AS (
+  SELECT 0 AS step, 1 AS stage, 1 AS turn, 0 AS used, FALSE AS moved, list_transform(topics, lambda t: 0) AS place, list_transform(topics, lambda t: 0) AS got,
+    NULL::VARCHAR AS topic_id, NULL::BIGINT AS article_id, NULL::INTEGER AS reviewed_in FROM run
+  UNION ALL
+  SELECT step + 1, CASE WHEN ends THEN stage + 1 ELSE stage END, CASE WHEN ends OR turn = n THEN 1 ELSE turn + 1 END,
+    CASE WHEN ends THEN 0 ELSE used + uses END, NOT ends AND turn < n AND (moved OR can),
+    list_transform(place, lambda x, i: CASE WHEN can AND i = turn THEN x + 1 ELSE x END),
+    list_transform(got, lambda x, i: CASE WHEN can AND i = turn AND item.fits THEN x + 1 ELSE x END),
+    CASE WHEN can THEN topic.topic_id END, CASE WHEN can THEN item.id END, CASE WHEN can THEN stage END
+  FROM (SELECT *, used + uses >= budget OR (turn = n AND NOT moved AND NOT can) AS ends FROM (
+    SELECT *, CASE WHEN can AND item.counted THEN 1 ELSE 0 END AS uses FROM (
+      SELECT w.*, len(r.topics) AS n, r.topics[turn] AS topic, r.topics[turn].queue[place[turn] + 1] AS item, CASE stage WHEN 1 THEN 20 ELSE 15 END AS budget,
+        got[turn] < r.topics[turn].need AND place[turn] < len(r.topics[turn].queue) AS can
+      FROM walk w, run r WHERE stage <= 2))))""", select="""
+SELECT topic_id, article_id, CASE reviewed_in WHEN 1 THEN 'initial' ELSE 'additional' END AS stage FROM walk
+WHERE article_id IS NOT NULL""").replace("WITH ", "WITH RECURSIVE ", 1))
+def coupled_review_budget(spark, sf_dir):
+    """Topics share 20 and then 15 reviews, each until it is full; rows without a label use a turn but no review."""
+    labels = V.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("article_id"), "quality")
+    pool = semantic_pool(spark, sf_dir).withColumn("run_id", F.lit("run")).withColumn("row_id", F.concat_ws("|", "topic_id", F.col("article_id").cast("string")))
+    pool = rank.distributed_position(pool.select("run_id", "topic_id", "topic_ord", "row_id", "article_id", "article_limit", "published_rank", "canonical_url"),
+                                     ["topic_id"], rank.newest_first(), "review_pos")
+    need = pool.groupBy("run_id", "topic_id").agg(F.floor(F.max("article_limit") / 3).cast("int").alias("missing"))
+
+    def judge(rows):
+        labelled = rows.join(labels, "article_id", "left")
+        return labelled.withColumn("counted", F.col("quality").isNotNull()).withColumn("qualifies", F.coalesce(F.col("quality") == 1, F.lit(False)))
+
+    return review.coupled_budget(cut(pool), judge, cut(need)).select("topic_id", "article_id", "stage")
+
+
 @query("enrichment_budget", V.sql(*_FULL, _BUDGET, """
 urls AS (SELECT canonical_url, min(round * 1000 + topic_ord) AS first_seen FROM budget GROUP BY 1)""", select="""
 SELECT canonical_url, row_number() OVER (ORDER BY first_seen, canonical_url) AS fetch_no FROM urls
@@ -293,6 +332,28 @@ def fair_selection(spark, sf_dir):
     return _full_run(spark, sf_dir).selected.select("topic_id", "rank", "article_id", "score", "selection_tier")
 
 
+def _scored_run(spark, sf_dir):
+    """All topics, exact duplicate rules, and a scorer that is asked while topics are short."""
+    from .intake import _sample_scorer
+
+    _, past = new_and_past(spark, sf_dir)
+    return D.digest(
+        V.articles(spark, sf_dir), V.topics(spark), V.sources(spark, sf_dir), past, V.as_of(), days=3, fuzzy=False, scorer=_sample_scorer, model="sample"
+    )
+
+
+@query("digest_with_scorer")
+def digest_with_scorer(spark, sf_dir):
+    """Selection of a demand-driven run: candidates with a keyword first, then the shared reviews of the others."""
+    return _scored_run(spark, sf_dir).selected.select("topic_id", "rank", "article_id", "score", "selection_tier", "stage", "analysis_mode")
+
+
+@query("digest_scorer_funnel")
+def digest_scorer_funnel(spark, sf_dir):
+    run = _scored_run(spark, sf_dir)
+    return run.counts.join(run.outcome.select("run_id", "outcome"), "run_id")
+
+
 @query("digest_funnel")
 def digest_funnel(spark, sf_dir):
     run = _full_run(spark, sf_dir)

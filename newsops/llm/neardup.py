@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import Scratch, packed, row_key
 from .components import components
@@ -182,6 +183,8 @@ def near_duplicates(
     labelled = nodes.join(labels, "node", "left").select(
         "digest", "least_id", F.coalesce("component", "node").alias("_group")
     )
+    labelled = scratch.keep("labelled", labelled)
+    scratch.drop("nodes", "labels")
     least = labelled.groupBy("_group").agg(F.min("least_id").alias("component_id"))
     placed = labelled.select("digest", "_group").join(least, "_group")
     alone = F.col("digest").isNull()
@@ -266,12 +269,18 @@ def _rest(rare: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One document of each component, the one with the least id, and every document without a set; all columns stay."""
-    found = near_duplicates(docs, id_col, text, **how)
+    """One document of each component, the one with the least id, and every document without a set; all columns stay.
+
+    A narrow table says how many rows of a content key stay; the rows themselves are shuffled once.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep("found", near_duplicates(docs, id_col, text, **how).select(F.col(id_col).alias("id"), "_key", "_group"))
     first = found.where("_group is not null").groupBy("_group").agg(
-        F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_key").alias("k"))).getField("k").alias("_key")
+        F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("_key").alias("k"))).getField("k").alias("_key")
     )
-    keyed = packed(docs, id_col, text)
-    one = keyed.join(first.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
-    alone = keyed.join(found.where("_group is null").select("_key").distinct(), "_key", "left_semi")
-    return one.unionAll(alone).select("_row.*")
+    alone = found.where("_group is null").groupBy("_key").agg(F.count(F.lit(1)).alias("stay"))
+    stay = scratch.keep("stay", first.select("_key", F.lit(1).cast("bigint").alias("stay")).unionAll(alone))
+    scratch.drop("found")
+    rows = packed(docs, id_col, text).join(stay, "_key")
+    nth = F.row_number().over(W.partitionBy("_key").orderBy("_key"))              # the join's own order: nothing is sorted again
+    return rows.withColumn("_nth", nth).where("_nth <= stay").select("_row.*")

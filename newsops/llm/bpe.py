@@ -13,6 +13,8 @@ columns stay as they are, and columns named like the outputs are replaced.
 from __future__ import annotations
 
 import base64
+import hashlib
+from collections.abc import Iterator
 from itertools import islice
 from pathlib import Path
 
@@ -83,6 +85,14 @@ class Encoder(dict):
         return packed
 
 
+def packed_ids(encoder: Encoder, split, text: str | None) -> bytearray:
+    """The ids of a text, packed as 32-bit integers; ``split`` is the compiled pattern."""
+    packed, matches = bytearray(), split.finditer(text or "")
+    while some := [m.group() for m in islice(matches, MATCHES)]:
+        packed += b"".join(map(encoder.__getitem__, some))
+    return packed
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with a column ``ids``: the token ids of ``text`` by the rank file ``ranks``."""
     tokens = read_ranks(ranks)
@@ -95,15 +105,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: s
         for column in batches:
             packed, ends = bytearray(), [0]           # one buffer, so that a batch is held once
             for value in column:
-                matches = split.finditer(value.as_py() or "")
-                while some := [m.group() for m in islice(matches, MATCHES)]:
-                    packed += b"".join(map(encoder.__getitem__, some))
+                packed += packed_ids(encoder, split, value.as_py())
                 ends.append(len(packed) // 4)
             values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(packed)])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
-    from collections.abc import Iterator
-
     encoded.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.withColumn(ids, F.arrow_udf(encoded, "array<int>")(F.col(text)))
 
@@ -125,18 +131,34 @@ def decode(docs: DataFrame, ranks: str, ids: str = "ids", decoded: str = "decode
                 pa.binary(),
             )
 
-    from collections.abc import Iterator
-
     joined.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.withColumn(decoded, F.arrow_udf(joined, "binary")(F.col(ids)))
 
 
 def digest(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """Per document: token count and the hashes of its ids and of the bytes they decode to."""
-    both = decode(encode(docs.select("doc_id", "text"), ranks, pattern), ranks)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """Per document: token count and the hashes of its ids and of the bytes they decode to.
+
+    One worker encodes and decodes a text before it takes the next, so ids and bytes are held for one text.
+    """
+    tokens = read_ranks(ranks)
+    shipped = docs.sparkSession.sparkContext.broadcast((tokens, build_model(tokens)))
+    kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+    def digested(batches):
+        import regex
+
+        encoder, split, of = Encoder(*shipped.value), regex.compile(pattern), shipped.value[0]
+        for column in batches:
+            out = []
+            for value in column:
+                ids = np.frombuffer(packed_ids(encoder, split, value.as_py()), np.int32).tolist()
+                told, decoded = ",".join(map(str, ids)).encode(), b"".join(map(of.__getitem__, ids))
+                out.append((len(ids), hashlib.sha256(told).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            counts, told, decoded = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.StructArray.from_arrays(
+                [pa.array(counts, pa.int64()), pa.array(told, pa.string()), pa.array(decoded, pa.string())], fields=list(kind)
+            )
+
+    digested.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    returns = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>"
+    return docs.select("doc_id", F.arrow_udf(digested, returns)(F.col("text")).alias("told")).select("doc_id", "told.*")

@@ -129,26 +129,27 @@ def fit(rows: DataFrame) -> Model:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with a struct ``prediction`` (lang, score, rejected) made from the text alone."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)     # centroids of the learned languages
+    # Centroids of the learned languages, as plain values: the executors need not have this package.
+    shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.centroids, model.limits, model.idf))
 
     def nearest(texts):
         import regex
 
-        letter, grams, known = regex.compile(r"\p{L}"), Grams(), shipped.value
+        letter, grams, (languages, centroids, limits, idf) = regex.compile(r"\p{L}"), Grams(), shipped.value
         kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
         for column in texts:
             out = []
             for begin in range(0, len(column), 256):
                 values = column.slice(begin, 256).to_pylist()
-                usable = [i for i, v in enumerate(values) if v is not None and known.languages and letter.search(v)]
+                usable = [i for i, v in enumerate(values) if v is not None and languages and letter.search(v)]
                 row = [{"lang": UNKNOWN, "score": 0.0, "rejected": True} for _ in values]
                 if usable:
-                    data = _weighted(np.stack([grams.counts(values[i]) for i in usable]), known.idf)
-                    near = data @ known.centroids.T
+                    data = _weighted(np.stack([grams.counts(values[i]) for i in usable]), idf)
+                    near = data @ centroids.T
                     best = near.argmax(axis=1)
                     score = np.clip(near[np.arange(len(best)), best], 0, 1)
                     for i, c, s in zip(usable, best.tolist(), score.tolist(), strict=True):
-                        row[i] = {"lang": known.languages[c], "score": round(s, 6), "rejected": s < known.limits[c]}
+                        row[i] = {"lang": languages[c], "score": round(s, 6), "rejected": s < limits[c]}
                 out += row
             yield pa.array(out, kind)
 

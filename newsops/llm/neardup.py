@@ -38,6 +38,7 @@ from .hashing import U64, Words, mix, windows
 
 SHINGLE, PERCENT = 5, 80
 BANDS, MISS = 45, 1e-7
+PAIRS = 256                     # pairs of texts that a task answers at once
 STARS = (4, 12)                 # leaders drawn for a bucket's bands, one number for each round
 
 
@@ -109,19 +110,21 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     def compared(batches):
         sketcher, last, last_set = Sketcher(shingle), None, None
         for batch in batches:
-            apart, linked = [], []
-            for b, own, other in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
-                if b != last:
-                    last, last_set = b, sketcher.shingles(other)
-                mine = sketcher.shingles(own)
-                common = np.intersect1d(mine, last_set, assume_unique=True).size
-                union = mine.size + last_set.size - common
-                apart.append(1 - common / union)
-                linked.append(100 * common >= percent * union)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(apart, pa.float64()), pa.array(linked, pa.bool_())],
-                ["a", "b", "apart", "linked"],
-            )
+            for begin in range(0, batch.num_rows, PAIRS):
+                some = batch.slice(begin, PAIRS)
+                apart, linked = [], []
+                for b, own, other in zip(*[some.column(i) for i in (1, 2, 3)], strict=True):
+                    if b.as_py() != last:
+                        last, last_set = b.as_py(), sketcher.shingles(other.as_py())
+                    mine = sketcher.shingles(own.as_py())
+                    common = np.intersect1d(mine, last_set, assume_unique=True).size
+                    union = mine.size + last_set.size - common
+                    apart.append(1 - common / union)
+                    linked.append(100 * common >= percent * union)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array(apart, pa.float64()), pa.array(linked, pa.bool_())],
+                    ["a", "b", "apart", "linked"],
+                )
 
     mine = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("own")), "a")
     both = mine.join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")

@@ -159,6 +159,6 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hos
     rows = packed(docs, id_col, host, text).join(judged, "_key")
     whole = F.col("_row").getField(text)
     row = F.when(F.col("_frequent").isNull(), F.col("_row")).otherwise(
-        F.col("_row").withField(text, F.arrow_udf(cleaned, "string")(whole, F.col("_frequent")))
+        F.col("_row").withField(text, F.arrow_udf(cleaned, "string")(F.when(F.col("_frequent").isNotNull(), whole), F.col("_frequent")))
     )
     return sized(rows.select(row.alias("_row")), docs, text)

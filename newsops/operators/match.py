@@ -119,11 +119,11 @@ def match_topics(
     config = keywords.take(literal_limit + 1)
     if len(config) <= literal_limit:
         scopes = {r.topic_id: list(r.source_ids or []) for r in topics.select("topic_id", "source_ids").collect()}
-        return _match_literal(articles, config, scopes, keep_unmatched)
+        return _match_literal(articles, config, scopes, keep_unmatched, topics)
     return _match_by_anchor(articles, topics, keywords, keep_unmatched)
 
 
-def _match_literal(articles, config, scopes, keep_unmatched) -> DataFrame:
+def _match_literal(articles, config, scopes, keep_unmatched, topics) -> DataFrame:
     def lit_or_null(value):
         return F.lit(value)
 
@@ -148,8 +148,8 @@ def _match_literal(articles, config, scopes, keep_unmatched) -> DataFrame:
                 F.array(*keyword_literals).alias("kws"),
             )
         )
-    if not topic_literals:
-        raise ValueError("no topic to match")
+    if not topic_literals:                              # the join route has the columns and no rows
+        return _match_by_anchor(articles, topics, topic_keywords(topics), keep_unmatched).limit(0)
     anchors = sorted({r.anchor for r in config})
     known = F.array(*[F.lit(a) for a in anchors]).cast("array<string>")
     # anchors present in the article: the only keywords that need a regular expression

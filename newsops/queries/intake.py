@@ -146,6 +146,25 @@ def part_export(spark, sf_dir):
     return back.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("rows"), F.lit(problems).alias("problems"))
 
 
+@query("part_export_bounded", r"""
+WITH lines AS (SELECT strlen('{"article_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}') + 1 AS size FROM documents)
+SELECT count(*) AS rows, CAST(sum(size) AS BIGINT) AS bytes, 0 AS parts_above, 0 AS problems, count(*) AS read_back FROM lines""")
+def part_export_bounded(spark, sf_dir):
+    """Parts of at most 16 KiB: what the writer's manifest says, parts above the bound, and rows read back under it."""
+    from ..session import shared_folder
+    import uuid
+
+    path, bound = f"{shared_folder(spark).rstrip('/')}/bounded-{uuid.uuid4().hex}", 16 << 10
+    rows = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "lang", "n_chars", "source")
+    manifest = files.write_bounded_parts(rows, path, [F.col("article_id")], bound)
+    actual = files.actual_bounded_parts(spark, path)
+    problems = files.check_bounded_parts(manifest, actual, bound).count()
+    back = files.read_bounded_parts(spark, path, manifest, "article_id bigint, lang string, n_chars bigint, source string", bound).count()
+    above = actual.where(F.col("bytes") > bound).count()
+    return manifest.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).select(
+        "rows", "bytes", F.lit(above).alias("parts_above"), F.lit(problems).alias("problems"), F.lit(back).alias("read_back"))
+
+
 # -- model scores -----------------------------------------------------------------
 def _model_text(df):
     """Model answers derived from a row: well formed, fenced, incomplete or out of range."""
@@ -295,6 +314,29 @@ def _drain(stream, mode):
     return stream.sparkSession.table(name)
 
 
+@query("stream_fuzzy_memory")
+def stream_fuzzy_memory(spark, sf_dir):
+    """Articles that repeat none kept in the seven days before, one batch for ten days of arrival; the memory is the store's."""
+    import uuid
+
+    from ..session import shared_folder
+    from ..sources.store import Store
+
+    root = f"{shared_folder(spark).rstrip('/')}/fuzzy-{uuid.uuid4().hex}"
+    schema = "article_id bigint, canonical_url string, norm_title string, material string, created_at timestamp"
+    rows = V.fingerprints(V.articles(spark, sf_dir).drop("full_text", "excerpt").where("created_at IS NOT NULL")).select(
+        "article_id", "canonical_url", "norm_title", "material", "created_at")
+    span = F.floor(F.datediff("created_at", F.lit("2024-01-01")) / 10)
+    rows.withColumn("span", span).repartition("span").write.partitionBy("span").parquet(f"{root}/all")
+    spans = sorted(r.span for r in spark.read.parquet(f"{root}/all").select("span").distinct().collect())     # folders
+    store = Store(spark, f"{root}/store", {"memory": schema, "kept": schema + ", batch_id bigint"}, {"memory": "created_at", "kept": "created_at"})
+    for one in spans:                                                # ten days arrive, and the stream takes what is new
+        spark.read.parquet(f"{root}/all/span={one}").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{root}/in")
+        jobs.fuzzy_dedup_batches(stream, store, f"{root}/check").awaitTermination()
+    return store.read("kept").select("article_id", "created_at", "batch_id")
+
+
 @query("stream_exact_dedup", """
 SELECT count(*) AS kept FROM (SELECT DISTINCT event_type, user_id FROM events)""")
 def stream_exact_dedup(spark, sf_dir):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .history import source_health
 from .rank import top_per_group
 
-# The categories behind the group filter.
+# Topics that may exist at a time, and the categories behind the group filter.
+MAX_TOPICS = 10
 CATEGORY_GROUPS = {"banking_all": ("central_bank", "bank_regulation", "banking", "fintech")}
 
 
@@ -57,6 +58,23 @@ def dashboard(topics: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def admit_topics(requests: DataFrame, topics: DataFrame, owner: str, order: list[Column], limit: int = MAX_TOPICS) -> DataFrame:
+    """``requests`` for new topics in order, with ``admitted``: whether the owner has fewer than ``limit`` unarchived ones.
+
+    The first rows of an owner that could be admitted at all are ranked; the others are refused unranked.
+    """
+    held = topics.where("NOT archived").groupBy(owner).agg(F.count(F.lit(1)).alias("_held"))
+    first = top_per_group(requests, [owner], order, limit, "_nth").join(held, owner, "left")
+    fits = first.where(F.col("_nth") + F.coalesce("_held", F.lit(0)) <= limit).select(owner, "topic_id", F.lit(True).alias("admitted"))
+    return requests.join(fits, [owner, "topic_id"], "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
+
+
+def audit_report(checks: DataFrame, by: list[str]) -> DataFrame:
+    """Per audit: sources checked and failed, and the exit status: 0 only if every source is in order."""
+    failed = F.count_if(~F.coalesce("ok", F.lit(False)))
+    return checks.groupBy(*by).agg(F.count(F.lit(1)).alias("checked"), failed.alias("failed"), F.when(failed > 0, 1).otherwise(0).alias("exit_status"))
+
+
 def sync_presets(sources: DataFrame, presets: DataFrame, version: int) -> DataFrame:
     """Sources after a catalogue update, with what happened to each.
 

@@ -92,6 +92,11 @@ def report_view(articles: DataFrame, topic_id: str | None = None, favorites_only
     return articles.where(search_filter("", topic_id, True if favorites_only else None))
 
 
+def report_order() -> list[Column]:
+    """The order of a report's articles: best score, then newest; the id decides where both are equal."""
+    return [F.desc("score"), F.desc("created_at"), F.col("id")]
+
+
 def export_articles(articles, topics, sources) -> DataFrame:
     """Everything retained, oldest first, without the cached full texts."""
     return with_names(articles, topics, sources).drop("full_text").orderBy("created_at", "id")

@@ -1,4 +1,4 @@
 """Registered queries over the test tables."""
 
-from . import bundles, intake, matching, ranking, runs, scalar  # noqa: F401
+from . import bundles, intake, matching, ranking, rules, runs, scalar  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators import catalog
 from ..session import cut
 
 MAX_ROWS, MAX_PART_BYTES = 50000, 4 << 20
@@ -21,6 +22,13 @@ def write_artifact(articles: DataFrame, path: str, run_id: str) -> str:
     return target
 
 
+def write_audit(checks: DataFrame, path: str) -> int:
+    """Write an audit's rows (source_id, ok, errors, ...) as JSON; the exit status is 1 if any source failed or none was checked."""
+    checks.write.mode("errorifexists").json(path)
+    told = catalog.audit_report(checks.sparkSession.read.schema(checks.schema).json(path).withColumn("audit", F.lit(1)), ["audit"]).first()
+    return told.exit_status if told else 1
+
+
 def write_parts(df: DataFrame, path: str, rows_per_part: int) -> DataFrame:
     """JSON part files of at most ``rows_per_part`` rows; returns the manifest (part, rows).
 

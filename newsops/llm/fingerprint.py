@@ -8,7 +8,7 @@ stored, packed; the share of equal bins is corrected for chance agreement of tho
 Null and empty texts, and texts of white space, have the empty fingerprint: likeness 1 to another
 empty one and 0 to any other.  A text of fewer than five words is one shingle.  Repeated rows and
 ties of the id are ordered by text; a table of one row is its own successor; extra columns are
-left out.
+left out.  Ids are numbers: the limits of the id ranges are quantiles.
 """
 
 from __future__ import annotations

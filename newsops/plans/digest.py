@@ -337,11 +337,10 @@ def demand_digest(
     judged = [direct]
     pool = None
     if semantic:
-        placed = rank.round_robin_all(fit.where("NOT matched").withColumn("source_id", F.col("source_id")), ["topic_id"], "source_id", "source_ord", latest, "review_pos")
+        placed = rank.round_robin_all(fit.where("NOT matched"), ["topic_id"], "source_id", "source_ord", latest, "review_pos")
         other = unique(cut(placed.drop("turn")), [F.col("review_pos").alias("by_place")])
         judged.append(other.drop("review_pos"))
-        pool = cut(other.where("is_kept").join(config, "topic_id").select(*shortlist.columns) if "turn" not in shortlist.columns
-                   else other.where("is_kept").withColumn("turn", F.lit(0)).join(config, "topic_id").select(*shortlist.columns))
+        pool = cut(other.where("is_kept").withColumn("turn", F.lit(0)).join(config, "topic_id").select(*shortlist.columns))
 
     pages, scores = Pages(page_bodies, active), Scores(scorer, cache, as_of, model, active, max_calls)
     rules = dedup.ALL_RULES if fuzzy else ("same_url_exact", "cross_url_exact")

@@ -72,16 +72,16 @@ def longest_body(bodies):
     return F.aggregate(plain, F.lit(""), lambda best, b: F.when(F.length(b) > F.length(best), b).otherwise(best))
 
 
-def feed_articles(feeds: DataFrame) -> DataFrame:
+def feed_articles(feeds: DataFrame, max_excerpt: int | None = MAX_EXCERPT) -> DataFrame:
     """Article rows of the first 100 entries per feed; rows without title or safe link drop out.
 
-    ``feeds``: feed_url, source_id, source_name, document.
+    ``feeds``: feed_url, source_id, source_name, document.  With ``max_excerpt`` None excerpts stay whole.
     """
     first = feed_entries(feeds).where(F.col("pos") < MAX_ENTRIES)
     rows = first.select(
         "feed_url", "source_id", "source_name", "pos", text.plain_text("title", MAX_TITLE).alias("title"),
         urls.resolve_link("feed_url", F.coalesce("link", F.lit(""))).alias("url"), F.trim(F.coalesce("link", F.lit(""))).alias("_raw"),
-        text.plain_text("summary", MAX_EXCERPT).alias("excerpt"), F.nullif(F.trim("published"), F.lit("")).alias("published_at"),
+        text.plain_text("summary", max_excerpt).alias("excerpt"), F.nullif(F.trim("published"), F.lit("")).alias("published_at"),
         longest_body(F.col("bodies")).alias("full_text"),
     ).where((F.col("title") != "") & (F.col("_raw") != "")).where(urls.is_public_url(urls.folded_url("url")))
     return rows.drop("_raw")

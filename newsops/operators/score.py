@@ -150,14 +150,20 @@ def _guarded(scorer: Scorer) -> Scorer:
 def call_scorer(misses: DataFrame, scorer: Scorer, run: str, order: list[Column], cap: int = MAX_CALLS_PER_RUN) -> DataFrame:
     """(run, cache_key, fresh_score, ai_status) of rows without a cached score.
 
-    Up to ``cap`` rows per run go to ``scorer``, each once; an invalid answer is asked once more.  The
-    scorer gets frames with cache_key, title and text, and returns cache_key and raw (model text).
-    ``ai_status`` is success, invalid (twice), failure (the scorer raised) or over_cap (not asked).
+    Up to ``cap`` keys per run go to ``scorer``, each once and in the order of its first row; an invalid answer
+    is asked once more.  The scorer gets frames with cache_key, title and text, and returns cache_key and raw (model text).
+    ``ai_status`` is success, invalid (twice), failure (the scorer raised) or over_cap (not asked).  Only keys and order are
+    sorted; texts are joined to the keys that are asked.
     """
-    numbered = misses.withColumn("call_no", F.row_number().over(W.partitionBy(run).orderBy(*order)))
+    first = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("_first")
+    numbered = cut(misses.groupBy(run, "cache_key").agg(first).withColumn(
+        "call_no", F.row_number().over(W.partitionBy(run).orderBy("_first", "cache_key"))).drop("_first"))
     asked, over = numbered.where(F.col("call_no") <= cap), numbered.where(F.col("call_no") > cap)
     body = F.when(F.coalesce(F.col("full_text"), F.lit("")) != "", F.col("full_text")).otherwise(F.col("excerpt"))
-    request = asked.select("cache_key", "title", F.substring(body, 1, MAX_TEXT).alias("text")).dropDuplicates(["cache_key"])
+    # at most ``cap`` keys a run
+    keys = cut(asked.select("cache_key").distinct())
+    request = misses.select("cache_key", "title", F.substring(body, 1, MAX_TEXT).alias("text")).join(
+        F.broadcast(keys), "cache_key").dropDuplicates(["cache_key"])
 
     def answers(rows: DataFrame) -> DataFrame:
         # written down, so that what reads the answers twice does not ask twice
@@ -212,12 +218,14 @@ def score_with_cache(
     scorer did for the row (see :func:`call_scorer`), NULL where it was not needed.  With
     ``keep_answers`` the scorer's answer stays in ``fresh_score``, as :func:`put_cache` takes it.
     """
+    if scorer is not None:                # read several times below: what makes the candidates runs once
+        candidates = cut(candidates)
     looked = cached_scores(candidates, cache, as_of)
     if scorer is None:
         scored = looked.withColumn("fresh_score", F.lit(None).cast(looked.schema["cached"].dataType)).withColumn(
             "ai_status", F.lit(None).cast("string"))
     else:
-        misses = looked.where("NOT cache_hit").dropDuplicates([run, "cache_key"])
+        misses = looked.where("NOT cache_hit")
         fresh = call_scorer(misses, scorer, run, order or [F.col("cache_key")], cap)
         scored = looked.join(fresh, [run, "cache_key"], "left")
     model = F.coalesce("cached", F.when(F.col("fresh_score.valid"), F.col("fresh_score")))

@@ -19,6 +19,11 @@ _MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 
 # Every step below is one replacement on the previous value, so the raw column is
 # referenced a fixed, small number of times however far the optimizer inlines it.
+# The usual spellings need none of the steps: _FULL_ISO is what the ISO steps lead to, _FULL_MAIL what most feeds send.
+_FULL_ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:Z|[+\-]\d{2}:\d{2})\z"
+_FULL_MAIL = (
+    r"^[A-Za-z]{3,9}, (\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{4} \d{2}:\d{2}:\d{2}) GMT\z"
+)
 _MAIL_STEPS = (
     (r"\s*\(.*\)\s*$|^\s+|\s+$", ""),                                 # comment, edges
     (r"(?i)^[a-z]{3,9}\s*,?\s+(?=\d)", ""),                            # weekday
@@ -55,11 +60,14 @@ def _apply(c: Column, steps) -> Column:
 
 
 def published_timestamp(c) -> Column:
-    """Mail-style date first, then ISO; no zone means UTC; anything else is NULL."""
+    """Mail-style or ISO date; no zone means UTC; anything else is NULL.
+
+    A mail-style date names its month, so what is spelled as ISO never is one.
+    """
     raw = _col(c)
-    mail = F.try_to_timestamp(_apply(raw, _MAIL_STEPS), F.lit("d MMM yyyy H:mm:ss xx"))
-    iso = F.when(raw.rlike(_ISO), _apply(raw, _ISO_STEPS)).try_cast("timestamp")
-    return F.coalesce(mail, iso)
+    iso = F.when(raw.rlike(_FULL_ISO), raw).when(raw.rlike(_ISO), _apply(raw, _ISO_STEPS)).try_cast("timestamp")
+    plain = F.when(raw.rlike(_FULL_MAIL), F.regexp_replace(raw, _FULL_MAIL, "$1 +0000")).otherwise(_apply(raw, _MAIL_STEPS))
+    return F.when(raw.rlike(_ISO), iso).otherwise(F.try_to_timestamp(plain, F.lit("d MMM yyyy H:mm:ss xx")))
 
 
 def published_rank(ts) -> Column:
@@ -73,10 +81,15 @@ def date_reason(raw, ts, as_of, days: int | None) -> Column:
         return F.lit(None).cast("string")
     if days not in FRESHNESS_WINDOWS:
         raise ValueError(f"freshness window must be one of {FRESHNESS_WINDOWS}")
-    raw, ts = _col(raw), _col(ts)
-    return (
-        F.when(raw.isNull() | (raw == ""), "date_missing")
-        .when(ts.isNull(), "date_invalid")
-        .when(ts > as_of + F.expr(f"INTERVAL {FUTURE_TOLERANCE_DAYS} DAYS"), "date_future")
-        .when(ts < as_of - F.expr(f"INTERVAL {days} DAYS"), "date_stale")
-    )
+    def reason(row):
+        raw, ts = row["raw"], row["ts"]
+        return (
+            F.when(raw.isNull() | (raw == ""), "date_missing")
+            .when(ts.isNull(), "date_invalid")
+            .when(ts > as_of + F.expr(f"INTERVAL {FUTURE_TOLERANCE_DAYS} DAYS"), "date_future")
+            .when(ts < as_of - F.expr(f"INTERVAL {days} DAYS"), "date_stale")
+        )
+
+    # bound once: a filter that gets the parsing of the date inlined would parse for every comparison
+    both = F.array(F.struct(_col(raw).alias("raw"), _col(ts).alias("ts")))
+    return F.get(F.transform(both, reason), F.lit(0))

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import cut
 
 FIELDS = ("title", "excerpt", "full_text")
 MAX_LITERAL_KEYWORDS = 2000
+MAX_SOUGHT = 64                # anchors that one expression looks for; more are met by the tokens of the text
 
 
 def active_topics(topics: DataFrame, requested: list[str] | None = None) -> DataFrame:
@@ -149,13 +151,15 @@ def _match_literal(articles, config, scopes, keep_unmatched, topics) -> DataFram
             )
         )
     if not topic_literals:                              # the join route has the columns and no rows
-        return _match_by_anchor(articles, topics, topic_keywords(topics), keep_unmatched).limit(0)
+        return _match_by_anchor(articles.limit(0), topics, topic_keywords(topics), keep_unmatched)
     anchors = sorted({r.anchor for r in config})
     known = F.array(*[F.lit(a) for a in anchors]).cast("array<string>")
     # anchors present in the article: the only keywords that need a regular expression
-    present = F.array_intersect(
-        F.array_distinct(F.concat(*[text.text_tokens(f"_{f}") for f in FIELDS])), known
-    )
+    if len(anchors) <= MAX_SOUGHT:
+        found = F.concat(*[text.tokens_among(f"_{f}", anchors) for f in FIELDS])
+    else:
+        found = F.concat(*[text.text_tokens(f"_{f}") for f in FIELDS])
+    present = F.array_intersect(F.array_distinct(found), known)
     ready = _searchable(articles).withColumn("_present", present)
     scoped = F.filter(F.array(*topic_literals), lambda t: in_scope(t["scope"], F.col("source_id")))
     hits = F.transform(
@@ -184,7 +188,8 @@ def _match_literal(articles, config, scopes, keep_unmatched, topics) -> DataFram
 def _match_by_anchor(articles, topics, keywords, keep_unmatched) -> DataFrame:
     """Rows equal in id, source and texts are tested once; each of them gets the evidence."""
     keyed = articles.withColumn("_row", F.sha2(F.to_json(F.struct("article_id", "source_id", *FIELDS)), 256))
-    ready = _searchable(keyed.select("_row", "source_id", *FIELDS).dropDuplicates(["_row"]))
+    # written once: the tokens and the tests read the folded texts
+    ready = cut(_searchable(keyed.select("_row", "source_id", *FIELDS).dropDuplicates(["_row"])).drop(*FIELDS))
     tokens = ready.select(
         "_row", "source_id",
         F.explode(F.array_distinct(F.concat(*[text.text_tokens(f"_{f}") for f in FIELDS]))).alias("anchor"),

@@ -138,21 +138,27 @@ def cross_topic_twins(df: DataFrame, run: str, id_col: str, rules: tuple[str, ..
 
     Input is a shortlist capped per topic and free of repeats inside a topic.
     """
-    return duplicate_edges(df, id_col, scope=[run]).where(F.col("rule").isin(*rules)).select("a", "b").distinct()
+    return duplicate_edges(df, id_col, [run], _judged_with(rules)).where(F.col("rule").isin(*rules)).select("a", "b").distinct()
 
 
-def planned(pool: DataFrame, twins: DataFrame) -> DataFrame:
+def _judged_with(rules: tuple[str, ...]) -> tuple[str, ...]:
+    """The rules that can name a pair in place of one of ``rules``; the exact ones never give way to the others."""
+    exact = ("same_url_exact", "cross_url_exact")
+    return exact if set(rules) <= set(exact) else ALL_RULES
+
+
+def planned(pool: DataFrame, twins: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
     """``pool`` with trial (the turn in which its topic reaches the row) and skipped.
 
     Topics take turns; in its turn a topic takes its best row that no row taken before it makes a
     repeat.  A row's turn follows from the number of unskipped rows ranked before it, so for a given set
     of skipped rows all turns are one window, and the rows that then meet an earlier taken twin are one
-    join.  Starting from no skipped row, every round settles at least the earliest open turn; the plan
-    is the set that reproduces itself.
+    join.  From whatever set (``skipped``, of an earlier plan; else none) the rounds start, each settles at
+    least the earliest open turn, so the plan is the one set that reproduces itself.
     """
     best = [F.col("score").desc(), F.col("published_rank").desc(), F.col("review_pos")]
     before = W.partitionBy("run_id", "topic_id").orderBy(*best).rowsBetween(W.unboundedPreceding, -1)
-    skipped = pool.select("row_id").limit(0)
+    skipped = pool.select("row_id").limit(0) if skipped is None else skipped.select("row_id")
     while True:
         marked = pool.join(skipped.withColumn("skipped", F.lit(True)), "row_id", "left").withColumn(
             "skipped", F.coalesce("skipped", F.lit(False))
@@ -163,8 +169,9 @@ def planned(pool: DataFrame, twins: DataFrame) -> DataFrame:
         taken = plan.where("reached AND NOT skipped").select(F.col("row_id").alias("a"), at)
         meets = plan.where("reached").select(F.col("row_id").alias("b"), at.alias("own")).join(twins, "b").join(taken, "a")
         again = cut(meets.where(F.col("at") < F.col("own")).select(F.col("b").alias("row_id")).distinct())
-        same = again.join(skipped, "row_id", "full_outer").agg(F.count(F.lit(1))).first()[0]
-        if same == again.count() == skipped.count():
+        moved = again.withColumn("now", F.lit(True)).join(
+            plan.where("skipped").select("row_id", F.lit(True).alias("was")), "row_id", "full_outer").where("now IS NULL OR was IS NULL")
+        if moved.isEmpty():
             return plan
         skipped = again
 
